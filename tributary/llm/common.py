@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one block of documents aims at.
 BLOCK_BYTES = 8 << 20
+NO_ID = (1 << 63) - 1
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,12 +63,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, block) and the number of blocks, which follows the bytes of text.
+    """(doc_id, no_id, text, block) and the number of blocks, which follows the bytes of text.
+
+    pandas would make longs with nulls floating, so a null doc_id is the largest long with no_id set.
 
     A block is a bounded group of whole documents, drawn by a hash of the row,
     so copies of a document spread over blocks. One long document is never cut.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(n))), n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, toxicity
+from . import bpe, decontaminate, langid, pii, repeats, simhash, substring, toxicity
 from . import quality as q
 from .common import fold_of, read, stash
 
@@ -18,6 +18,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"), outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, tokenizer_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).select("doc_id", "bpe.*")
@@ -30,11 +39,23 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (fold == 2).alias("held_out"), langid.language(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(read(spark, sf_dir, "documents"), outputs=("n_words", "n_removed", "kept_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", pii.pii_digest(F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.hits(docs, read(spark, sf_dir, "benchmark"))
+    h = F.col("hits")
+    rows = found.select("doc_id", h["n_words"].alias("n_words"), decontaminate.n_hit(h).alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"), decontaminate.items_digest(h).alias("items_sha256"))
+    return rows.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = fold_of(F.col("doc_id"), 3)
     stats = stash(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), q.stats_column(F.col("text")).alias("stats")))
@@ -52,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op4_language, op6_pii, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_repeats, op2_simhash, op3_bpe, op4_language, op5_substring, op6_pii, op8_decontaminate, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
