@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 LEAF = 2048
 SPREAD = 1 << 16
 CACHE = 300_000
@@ -249,17 +251,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", outputs: tuple[st
     )
     names = ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)
     joined = leaves.groupBy("key").applyInPandas(lambda k, pdf: _join_leaves(k, pdf, path, leaf, outputs), f"key string, out struct<{names.replace(' ', ':').replace(',:', ',')}>")
-    key = free_name_of(docs)
+    key = free_name(docs, "text_key")
     wide = long.withColumn(key, F.sha2(F.col(text_col), 256)).join(joined.select(F.col("key").alias(key), F.col("out").alias(into)), key).drop(key)
     return rest.unionByName(wide)
 
 
-def free_name_of(docs: DataFrame) -> str:
-    from .common import free_name
-
-    return free_name(docs, "text_key")
-
-
 def _cut(parts: Iterator[pd.DataFrame], path: str, leaf: int) -> Iterator[pd.DataFrame]:
     """Rows for the leaves of each text: short chunks stay whole, long unsplit runs are cut; an id stands for a special token."""
     for pdf in parts:

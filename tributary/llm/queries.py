@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, pii, repeats, simhash, substring, toxicity
+from . import bpe, decontaminate, embeddings, langid, pii, repeats, simhash, substring, toxicity
 from . import quality as q
 from .common import fold_of, read, stash
 
@@ -48,6 +48,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pii.pii_digest(F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.hits(docs, read(spark, sf_dir, "benchmark"))
@@ -73,7 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_repeats, op2_simhash, op3_bpe, op4_language, op5_substring, op6_pii, op8_decontaminate, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_repeats, op2_simhash, op3_bpe, op4_language, op5_substring, op6_pii, op7_embeddings, op8_decontaminate, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

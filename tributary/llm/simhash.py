@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, stash
+from .components import components
+
 SHINGLE = 3
 SEED = 42
 
@@ -142,24 +145,42 @@ def links(distinct: DataFrame, segments: int = SEGMENTS, distance: int = DISTANC
     return near.union(star)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (signed long) and component_id (the smallest doc_id reachable by links) for each row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, fp (signed long), component_id (the smallest doc_id reachable by links) and ``carry`` for each row of docs.
 
     Nulls and texts without words have fingerprint zero and link like any other.
     A null doc_id keeps its row; a component whose doc_ids are all null has none.
     Repeated rows give repeated rows. An empty table gives an empty table.
     """
-    from .components import components
-    from .common import stash
-
-    rows = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), shingle, seed).alias("fp")))
+    more = [c.alias(f"carry{k}") for k, c in enumerate(carry)]
+    rows = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), shingle, seed).alias("fp"), *more))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     root = components(links(distinct.select("fp")))
     linked = distinct.join(root, distinct["fp"] == root["node"]).select("fp", "least", "component")
     merged = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_linked = linked.join(merged, "component").select("fp", "component_id")
-    of = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    of_linked = linked.join(merged, "component").select("fp", "component_id", "component")
+    of = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("group"))
+    return rows.join(of, "fp").select("doc_id", "fp", "component_id", *[f"carry{k}" for k in range(len(carry))], *(["group"] if carry else []))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of near-duplicates, with all its columns: the smallest doc_id, null last.
+
+    Rows of one doc_id in one group are told apart by hashes of all columns; of
+    fully equal rows one stays.
+    """
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    k1, k2 = F.xxhash64(*every), F.hash(*every)
+    rows = near_duplicates(docs, id_col, text_col, carry=(k1, k2))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "carry0", "carry1")).alias("r")).select("r.carry0", "r.carry1")
+    n1, n2 = free_name(docs, "row_hash1"), free_name(docs, "row_hash2")
+    kept = docs.withColumn(n1, k1).withColumn(n2, k2)
+    first = first.select(F.col("carry0").alias(n1), F.col("carry1").alias(n2))
+    again = rows.groupBy("carry0", "carry1").agg(F.count("*").alias("n")).where("n > 1")
+    kept = kept.join(first, [n1, n2], "left_semi")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates([n1, n2])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hexed(fp: Column) -> Column:
