@@ -35,7 +35,9 @@ from .common import free_name
 
 LEAF = 2048
 SPREAD = 1 << 16
-CACHE = 300_000
+CACHE = 120_000
+#: Rows that leave a worker at once.
+ROWS = 256
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
@@ -113,6 +115,11 @@ class Encoder:
                 self.byte_names[c] = "".join(p for p, _ in level.pre_tokenize_str(chr(c)))
         return regex.compile(split["pattern"]["Regex"]).findall
 
+    def forget(self) -> None:
+        """Empties the caches, since a worker outlives its task."""
+        self.cache.clear()
+        self.runs.clear()
+
     def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
         text = chunk.decode("utf-8", "surrogatepass")
         if len(text) > self.leaf:
@@ -220,7 +227,9 @@ def encoded(text: Column, path: str, outputs: tuple[str, ...] = ("ids",), leaf:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoder(path, leaf)
         for s in parts:
-            yield pd.DataFrame([_outputs(*enc.encode_bytes(t), outputs) for t in s], columns=list(outputs))
+            for at in range(0, len(s), ROWS):
+                yield pd.DataFrame([_outputs(*enc.encode_bytes(t), outputs) for t in s.iloc[at : at + ROWS]], columns=list(outputs))
+        enc.forget()
 
     return run(text)
 
