@@ -122,6 +122,11 @@ def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's rows in one order for all passes, whatever order the shuffle delivers; ties are equal rows."""
+    return pdf.sort_values(["doc_id", "no_id", "text"], ignore_index=True)
+
+
 def passes(docs: DataFrame, first: Callable, second: Callable, last: Callable, merge1: Merge, merge2: Merge, out: str) -> DataFrame:
     """Three passes over blocks of documents with two exchanges between.
 
@@ -129,12 +134,13 @@ def passes(docs: DataFrame, first: Callable, second: Callable, last: Callable, m
     last(block, pdf, answers) -> the columns of out, which follow doc_id, in the order of pdf.
     """
     by_block = docs.groupBy("block")
-    one = answers(by_block.applyInPandas(lambda k, pdf: frame(list(first(int(k[0]), pdf))), MESSAGE), merge1)
-    sent = by_block.cogroup(one.groupBy("block")).applyInPandas(lambda k, pdf, got: frame(list(second(int(k[0]), pdf, got))), MESSAGE)
+    one = answers(by_block.applyInPandas(lambda k, pdf: frame(list(first(int(k[0]), _ordered(pdf)))), MESSAGE), merge1)
+    sent = by_block.cogroup(one.groupBy("block")).applyInPandas(lambda k, pdf, got: frame(list(second(int(k[0]), _ordered(pdf), got))), MESSAGE)
     two = answers(sent, merge2)
 
     def rows(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([pdf[["doc_id", "no_id"]].reset_index(drop=True), last(int(key[0]), pdf, got)], axis=1)
+        pdf = _ordered(pdf)
+        return pd.concat([pdf[["doc_id", "no_id"]], last(int(key[0]), pdf, got)], axis=1)
 
     named = by_block.cogroup(two.groupBy("block")).applyInPandas(rows, f"doc_id long, no_id boolean, {out}")
     return named.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
