@@ -6,6 +6,7 @@ Storage: intermediate tables go to the folder named in ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -13,8 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one block of documents aims at.
+#: Bytes of text that one block of documents aims at: least and most. Blocks grow with the root of the corpus, so that
+#: messages between blocks and buckets grow in proportion to it; the most is what a Python worker can hold several times over.
 BLOCK_BYTES = 8 << 20
+MOST_BLOCK_BYTES = 128 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -62,8 +65,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, no_id, text, block) and the number of blocks, which follows the bytes of text.
+def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """(doc_id, no_id, text, block) and the bytes of all texts, which the number of blocks follows.
 
     pandas would make longs with nulls floating, so a null doc_id is the largest long with no_id set.
 
@@ -72,20 +75,9 @@ def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOC
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(n))), n
-
-
-# --- sorted 64-bit keys as compact bytes -------------------------------------------------
-
-
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct uint64 keys as little-endian bytes."""
-    return np.ascontiguousarray(keys, dtype="<u8").tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, dtype="<u8")
+    size = block_bytes or min(max(BLOCK_BYTES, math.isqrt(total * 80_000)), MOST_BLOCK_BYTES)
+    n = max(1, -(-total // size))
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(n))), total
 
 
 # --- rolling hashes over arrays, modulo 2**64 --------------------------------------------
@@ -137,11 +129,3 @@ class Rolling:
     def slices(self, prefixes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((prefixes[end] - prefixes[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def spans_of(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    """Boolean cover of n positions by half-open spans."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
-    return np.cumsum(edge[:n]) > 0

@@ -101,9 +101,13 @@ def answered(pdf: pd.DataFrame, channel: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(own["value"]), dtype)
 
 
-def bucket_bits(blocks: int) -> int:
-    """As many buckets as blocks or so, so that either grows with the root of the number of messages; 32 at least."""
-    return max(5, int(np.ceil(np.log2(max(blocks, 1)))))
+#: Bytes of text whose keys one bucket holds, about as many bytes again.
+BUCKET_BYTES = 64 << 20
+
+
+def bucket_bits(total: int) -> int:
+    """Buckets for a corpus of so many bytes: of bounded size, 32 at least."""
+    return max(5, (total // BUCKET_BYTES).bit_length())
 
 
 def texts_of(pdf: pd.DataFrame) -> list[bytes]:

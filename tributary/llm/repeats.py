@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import exchange as x
-from .common import BLOCK_BYTES, Rolling, blocked
+from .common import Rolling, blocked
 
 LENGTH = 200
 TRIGGER = 8
@@ -133,10 +133,10 @@ class _Seen:
 _UNIQUE, _REPEATED, _OPEN, _HOLDER = range(4)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, outputs: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept"), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, outputs: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept"), block_bytes: int | None = None) -> DataFrame:
     """doc_id and outputs for each row of docs; kept is the remaining bytes joined."""
-    rows, blocks = blocked(docs, id_col, text_col, block_bytes)
-    bits = x.bucket_bits(blocks)
+    rows, size = blocked(docs, id_col, text_col, block_bytes)
+    bits = x.bucket_bits(size)
 
     def first(block: int, pdf: pd.DataFrame):
         seen = _Seen(pdf, length)

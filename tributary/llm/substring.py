@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import exchange as x
-from .common import BLOCK_BYTES, Rolling, blocked
+from .common import Rolling, blocked
 
 WINDOW = 13
 OUTPUTS = {"n_words": "long", "n_removed": "long", "kept": "string", "kept_sha256": "string"}
@@ -67,10 +67,10 @@ class _Block:
         return r.slices(r.prefixes(self.words), starts, starts + size)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, outputs: tuple[str, ...] = ("n_words", "n_removed", "kept"), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, outputs: tuple[str, ...] = ("n_words", "n_removed", "kept"), block_bytes: int | None = None) -> DataFrame:
     """doc_id and outputs for each row of docs; kept is the remaining words joined by one space."""
-    rows, blocks = blocked(docs, id_col, text_col, block_bytes)
-    bits = x.bucket_bits(blocks)
+    rows, total = blocked(docs, id_col, text_col, block_bytes)
+    bits = x.bucket_bits(total)
 
     def probes(b: _Block) -> tuple[np.ndarray, x.Keys]:
         starts = b.starts(b.block)
