@@ -119,6 +119,19 @@ def test_toxicity_held_out(spark):
     assert toxicity.fit(docs, q.labels_of(labels.where("false"), "toxic", fold != 0)).score("x") == 0.0
 
 
+def test_toxicity_lexicon_is_whole_beside_a_group_of_copies(spark):
+    long = " ".join(f"zq{k:05d}x" for k in range(5000))
+    rows = [(k, long, 1.0) for k in range(60)]
+    rows += [(100 + k, f"you moron number{k}", 1.0) for k in range(20)] + [(200 + k, f"a fine day number{k}", 0.0) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    c = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"))
+    assert "w:moron" in c.weights and "w:zq00001x" not in c.weights
+    rows = [(k, t if k > 99 else f"{t} only{k}", y) for k, t, y in rows]  # 60 different texts with the same 5000 words
+    df = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    c = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"))
+    assert "w:moron" in c.weights and sum(t.startswith("w:zq") for t in c.weights) == 5000
+
+
 def test_label_model_trusts_accurate_voters():
     r = np.random.default_rng(3)
     y = r.random(2000) < 0.3

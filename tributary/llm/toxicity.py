@@ -10,9 +10,11 @@
    shrink the weight of voters that repeat each other.
 3. A logistic classifier over the terms is trained on the posterior labels.
 
-Fitting takes at most about ``max_rows`` labelled documents, chosen by a hash of doc_id. Null
-counts as an empty text, which has no terms and gets the classifier's bias. Several
-labels of one doc_id count as their mean. Without labels every score is 0.
+Fitting takes at most about ``max_rows`` labelled documents, chosen by a hash of doc_id. Among
+them a text that many documents share counts once, with the mean of their labels, so a group of
+copies doesn't outvote other texts. The lexicon holds every term that is frequent and clear
+enough; the sample alone bounds it. Null counts as an empty text, which has no terms and gets the
+classifier's bias. Several labels of one doc_id count as their mean. Without labels every score is 0.
 Repeated rows get equal scores.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS = 20_000
-MAX_TERMS = 4_000
+#: In how many different toxic texts a term must be.
 MIN_DOCS = 4
 #: How many times likelier a term must be in toxic texts.
 MIN_RATIO = 12.0
@@ -112,6 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text_col:
     sample = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), "doc_id")
         .groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+        .groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).agg(F.max("text").alias("text"), F.avg("label").alias("label"))
     )
 
     def doc_terms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text_col:
     if not sizes or not sizes["hot"] or not sizes["cold"]:
         return none if not sizes or not sizes["hot"] else Classifier({}, 50.0)
     ratio = ((F.col("hot") + 0.0) / sizes["hot"]) / ((F.col("cold") + 0.5) / sizes["cold"])
-    chosen = counts.where((F.col("term") != "") & (F.col("hot") >= MIN_DOCS) & (ratio >= MIN_RATIO)).orderBy(F.desc("hot"), "term").limit(MAX_TERMS).collect()
-    lexicon = sorted(r["term"] for r in chosen)
+    chosen = counts.where((F.col("term") != "") & (F.col("hot") >= MIN_DOCS) & (ratio >= MIN_RATIO)).select("term").toPandas()
+    lexicon = sorted(chosen["term"])
     if not lexicon:
         return none
     index = {t: k for k, t in enumerate(lexicon)}
@@ -142,24 +145,56 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text_col:
             yield pd.Series([sorted(index[t] for t in terms(x) if t in index) for x in s], dtype=object)
 
     rows = sample.select(found("text").alias("found"), "label").toPandas()
-    x = np.zeros((len(rows), len(lexicon)), np.float32)
-    for k, f in enumerate(rows["found"]):
-        x[k, list(f)] = 1
+    x = Sparse(rows["found"], len(lexicon))
     label = rows["label"].to_numpy(float)
     voter = np.array([(0 if t[0] == "w" else VOTERS) + zlib.crc32(t.encode()) % VOTERS for t in lexicon])
-    votes = np.stack([np.where(x[:, voter == v].any(axis=1), 1, 0) for v in range(2 * VOTERS)], axis=1)
-    clean = [np.where(x[:, voter < VOTERS].any(axis=1), 0, -1), np.where(x[:, voter >= VOTERS].any(axis=1), 0, -1)]
+    votes = np.zeros((len(rows), 2 * VOTERS), int)
+    for k, f in enumerate(rows["found"]):
+        votes[k, voter[f]] = 1
+    clean = [np.where(v.any(axis=1), 0, -1) for v in (votes[:, :VOTERS], votes[:, VOTERS:])]
     posterior = label_model(np.column_stack([votes, *clean]), np.clip(label, 0.1, 0.9))
     return _logistic(x, posterior, lexicon)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, lexicon: list[str], steps: int = 300) -> Classifier:
-    w, b, n = np.zeros(x.shape[1]), 0.0, len(x)
+class Sparse:
+    """Rows of ones at given columns, and zeros: 4 bytes for each term that occurs, taken up in chunks of rows."""
+
+    def __init__(self, found: pd.Series, n_cols: int, chunk: int = 1 << 20):
+        self.sizes = np.array([len(f) for f in found], np.int64)
+        self.shape = (len(self.sizes), n_cols)
+        self.col = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32, copy=False)
+        self.start = np.concatenate([[0], np.cumsum(self.sizes)])
+        cuts = np.searchsorted(self.start, np.arange(0, len(self.col) + chunk, chunk))
+        self.cuts = np.unique(np.concatenate([[0], np.minimum(cuts, self.shape[0]), [self.shape[0]]]))
+
+    def chunks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Rows, and the columns of their ones."""
+        for i, j in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            yield slice(i, j), self.col[self.start[i] : self.start[j]]
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[0])
+        for rows, col in self.chunks():
+            at = self.start[rows.start : rows.stop + 1] - self.start[rows.start]
+            out[rows] = np.diff(np.concatenate([[0.0], np.cumsum(v[col])])[at])
+        return out
+
+    def transposed_times(self, v: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[1])
+        for rows, col in self.chunks():
+            out += np.bincount(col, np.repeat(v[rows], self.sizes[rows]), self.shape[1])
+        return out
+
+
+def _logistic(x: Sparse, y: np.ndarray, lexicon: list[str], steps: int = 300) -> Classifier:
+    w, b, n = np.zeros(x.shape[1]), 0.0, x.shape[0]
     vw, vb, last = w, b, 1.0
-    rate = 4.0 / max(1.0, float((x.sum(axis=1).max() + 1)) / 2)
+    # A step for each term from a bound of the curvature, so one long text slows only its own terms.
+    size = x.sizes + 1.0
+    rate_w, rate_b = 1 / (x.transposed_times(size) / (4 * n) + 5e-5), 4 * n / size.sum()
     for _ in range(steps):
-        g = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -50, 50))) - y
-        nw, nb = vw - rate * (x.T @ g / n * 20 + 1e-3 * vw), vb - rate * g.mean()
+        g = 1 / (1 + np.exp(-np.clip(x.times(vw) + vb, -50, 50))) - y
+        nw, nb = vw - rate_w * (x.transposed_times(g) / n + 5e-5 * vw), vb - rate_b * g.mean()
         t = (1 + np.sqrt(1 + 4 * last * last)) / 2
         vw, vb = nw + (last - 1) / t * (nw - w), nb + (last - 1) / t * (nb - b)
         w, b, last = nw, nb, t
