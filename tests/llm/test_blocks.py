@@ -3,6 +3,8 @@
 import random
 
 import brute
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,13 +48,48 @@ def got(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize(("seed", "length", "size"), [(3, 200, 8 << 20), (4, 60, 2000), (5, 200, 1500)])
-def test_repeats(spark, seed, length, size):
+@pytest.mark.parametrize(("seed", "length", "size", "hot"), [(3, 200, 8 << 20, 4096), (4, 60, 2000, 4096), (5, 200, 1500, 3), (6, 60, 8 << 20, 0)])
+def test_repeats(spark, seed, length, size, hot):
     rows = corpus(seed)
-    out = repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA), length=length, outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"), block_bytes=size)
+    out = repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA), length=length, outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"), block_bytes=size, hot=hot)
     assert got(out) == sorted(brute.repeats(pairs(rows), length), key=str)
 
 
+def test_pieces_have_the_triggers_of_the_whole(monkeypatch):
+    pdf = pd.DataFrame({"text": ["".join(random.Random(8).choice("abc ") for _ in range(5000)), "a" * 3000, "x" * 210, "", "short"]})
+    found = []
+    for size in (1 << 20, 700):
+        monkeypatch.setattr(repeats, "PIECE", size)
+        b, of = repeats._Block(pdf, 200), {}
+        for p, (i, j) in zip(b.parts, b.runs, strict=True):
+            begins = np.concatenate([[0], p.ends[:-1]])
+            for t, low, high in zip(p.trigger, p.low, p.high, strict=True):
+                s = i + int(np.searchsorted(p.ends, low, side="right"))
+                shift = b.at[s] - begins[s - i]
+                of |= {(b.own[s], int(q + shift)): int(t + shift) for q in range(low, high + 1)}
+        found.append(of)
+    assert found[0] == found[1] and len(found[0]) == 4801 + 2801 + 11
+
+
+def test_strings_in_corpus_order_equal_counting():
+    r, length = random.Random(2), 40
+    width = repeats.reach(length)
+    for _ in range(60):
+        made = []
+        for _ in range(r.randrange(1, 40)):
+            least = r.randrange(width)
+            most = r.randrange(least, width)
+            made.append((bytes(r.choice([0, 0, 0, 97]) if r.random() < 0.3 else 0 for _ in range(most + length - least)), least, most, r.choice([1, 1, 2])))
+        c, least, most, weight = zip(*made, strict=True)
+        out = repeats.repeated_strings(list(c), np.array(least), np.array(most), np.array(weight), length)
+        seen = {}
+        for t, a, b, w in made:
+            for d in range(a, b + 1):
+                seen[d, t[b - d : b - d + length]] = seen.get((d, t[b - d : b - d + length]), 0) + w
+        for k, (t, a, b, _) in enumerate(made):
+            assert [bool(v) for v in out[k]] == [a <= d <= b and seen[d, t[b - d : b - d + length]] > 1 for d in range(width)]
+
+
 @pytest.mark.parametrize(("seed", "window", "size"), [(3, 13, 8 << 20), (4, 5, 2000), (5, 13, 1500)])
 def test_substring(spark, seed, window, size):
     rows = corpus(seed)

@@ -26,9 +26,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share; a temporary one only where both are one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -61,8 +63,21 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: A key counts as hot above this many rows and above this share of all rows, so there are at most 10,000 hot keys.
+HOT_ROWS = 64
+HOT_SHARE = 10_000
+
+
+def joined_by_size(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """left joined with right, which holds each key once and in ``size`` its number of rows in left (total in all).
+
+    Rows of hot keys meet a broadcast of the at most HOT_SHARE hot rows of right, so they stay where they are; the
+    others are shuffled, no more than one row in HOT_SHARE to a key. Both sides are read twice: stash them first.
+    A key that is null meets nothing.
+    """
+    hot = F.col(size) > max(HOT_ROWS, total // HOT_SHARE)
+    few, rest = F.broadcast(right.where(hot).drop(size)), right.where(~hot).drop(size)
+    return left.join(few, key).unionByName(left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(rest, key))
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> tuple[DataFrame, int]:
@@ -70,14 +85,14 @@ def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None
 
     pandas would make longs with nulls floating, so a null doc_id is the largest long with no_id set.
 
-    A block is a bounded group of whole documents, drawn by a hash of the row,
-    so copies of a document spread over blocks. One long document is never cut.
+    A block is a bounded group of whole documents, drawn by a hash of the row and of its input partition,
+    so copies of a document, equal rows too, spread over blocks. One long document is never cut.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = block_bytes or min(max(BLOCK_BYTES, math.isqrt(total * 80_000)), MOST_BLOCK_BYTES)
     n = max(1, -(-total // size))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(n))), total
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64), F.spark_partition_id()), F.lit(n))), total
 
 
 # --- rolling hashes over arrays, modulo 2**64 --------------------------------------------
@@ -129,3 +144,12 @@ class Rolling:
     def slices(self, prefixes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((prefixes[end] - prefixes[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+        """Hashes of slices in order, taken in pieces of the data, so that a very long text needs no more memory than its bytes."""
+        cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(data) + 1, piece)), len(start)))
+        parts = [np.zeros(0, np.uint64)]
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            base = start[i]
+            parts.append(self.slices(self.prefixes(data[base : end[j - 1]]), start[i:j] - base, end[i:j] - base))
+        return np.concatenate(parts)

@@ -74,8 +74,9 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "channel", "block", "n", "key", "more", "value"])
 
 
-#: channel -> (key type, type of h2 or None, type of values, how entries of equal keys become the answers)
-Merge = dict[str, tuple[str, str | None, str, Callable[[Keys, np.ndarray], np.ndarray]]]
+#: channel -> (key type, type of h2 or None, type of values, how entries of equal keys become the answers), or a
+#: function from all messages of a bucket to one answer for each
+Merge = dict[str, tuple[str, str | None, str, Callable[[Keys, np.ndarray], np.ndarray]] | Callable[[pd.DataFrame], list[bytes]]]
 
 
 def answers(sent: DataFrame, merge: Merge) -> DataFrame:
@@ -85,6 +86,8 @@ def answers(sent: DataFrame, merge: Merge) -> DataFrame:
         if key[1] == "carry":
             return pd.DataFrame({"block": pdf["block"], "channel": key[1], "bucket": key[0], "value": pdf["value"]})
         pdf = pdf.sort_values("block")
+        if callable(merge[key[1]]):
+            return pd.DataFrame({"block": pdf["block"].to_numpy(), "channel": key[1], "bucket": key[0], "value": merge[key[1]](pdf)})
         key_type, more_type, value_type, how = merge[key[1]]
         h1 = np.frombuffer(b"".join(pdf["key"]), key_type)
         h2 = None if more_type is None else np.frombuffer(b"".join(pdf["more"]), more_type)

@@ -6,7 +6,7 @@ index; every rolling run of BLOCK words is a probe. Since a window has at least
 repeats. Index and probes meet bucket by bucket; a probe hits if its words
 are an indexed block somewhere and stand in two documents or more. Hits extend to
 all windows made of nothing but repeated runs around a hit; these windows are
-compared by 80-bit hashes against the smallest doc_id that holds them, and windows that
+compared by 128-bit hashes against the smallest doc_id that holds them, and windows that
 lose merge into maximal repeats, which are removed.
 
 Null texts have no words. A null doc_id counts as larger than all others; rows
@@ -39,7 +39,7 @@ def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[True], _SPACE[b], [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    return _letters.slices(_letters.prefixes(b), starts, ends), np.searchsorted(starts, at)
+    return _letters.words(b, starts, ends), np.searchsorted(starts, at)
 
 
 class _Block:
@@ -92,7 +92,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         return np.where(several, 1 + indexed, 0).astype(np.uint8)[keys.inverse]
 
     def windows(b: _Block, candidate: np.ndarray) -> x.Keys:
-        return x.Keys(b.hashes(candidate, window), (b.hashes(candidate, window, other=True) & np.uint64(0xFFFF)).astype("<u2"))
+        return x.Keys(b.hashes(candidate, window), b.hashes(candidate, window, other=True))
 
     def second(block: int, pdf: pd.DataFrame, got: pd.DataFrame):
         b = _Block(pdf, window)
@@ -141,6 +141,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     return x.passes(
         rows, first, second, last,
-        {"probe": ("<u4", None, "u1", meet)}, {"window": ("<u8", "<u2", "<i8", oldest)},
+        {"probe": ("<u4", None, "u1", meet)}, {"window": ("<u8", "<u8", "<i8", oldest)},
         ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs),
     )
