@@ -11,7 +11,7 @@ Shards need nothing from each other, so the corpus is never shuffled. The test
 items are read in blocks of bounded size; each block is broadcast and passes over
 the corpus once, in one chain of stages.
 
-Null texts have no words. Items without words are ignored; items with the same id
+Null texts have no words; long ones form a shard of their own. Items without words are ignored; items with the same id
 count once, and a null item id counts as the id "". Repeated documents give
 repeated rows.
 """
@@ -26,14 +26,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling
+from .common import Rolling, free_name
 
 WINDOW = 10
 #: Bytes of training text in one suffix array, and of test text in one broadcast.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 ITEM_BYTES = 16 << 20
-#: Leading words that a suffix must share with a test suffix to enter the array.
+#: Leading words that a suffix must share with a test suffix to enter the array; all of a shorter window.
 LEAD = 3
+#: Test suffixes that are looked up at once.
+CHUNK = 1 << 16
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[0x30:0x3A] = _IN_WORD[0x61:0x7B] = _IN_WORD[0x80:] = True
@@ -50,7 +52,7 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     b = _LOWER[np.frombuffer(joined, np.uint8)]
     edge = np.diff(np.concatenate([[False], _IN_WORD[b], [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    hashes = _rolling.slices(_rolling.prefixes(b), starts, ends)
+    hashes = _rolling.words(b, starts, ends)
     at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     return hashes, np.searchsorted(starts, at)
 
@@ -62,75 +64,96 @@ def _keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -
     return np.ascontiguousarray(w.astype(">u8")).view(f"S{8 * width}").ravel()
 
 
+class _Lead:
+    """Test windows that are found by their first ``lead`` words, in the order of those words' hashes."""
+
+    def __init__(self, words: np.ndarray, start: np.ndarray, size: np.ndarray, lead: int):
+        self.lead = lead
+        grams = _grams(words, start, lead)
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.start, self.size = grams[order], start[order].astype(np.int32), size[order].astype(np.int32)
+        self.mask = np.uint64((1 << min(max(16, (8 * len(grams)).bit_length()), 25)) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[grams & self.mask] = True
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a shard's suffixes begin like a test suffix, and the test windows that begin like one of these."""
+        last = len(words) - self.lead + 1
+        none = np.zeros(0, np.int64)
+        if last <= 0:
+            return none, none
+        grams = _grams(words, np.arange(last), self.lead)
+        near = np.flatnonzero(self.bits[grams & self.mask])
+        g = grams[near]
+        near, g = (v[self.grams[np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)] == g] for v in (near, g))
+        own = np.unique(g)
+        low, high = np.searchsorted(self.grams, own, "left"), np.searchsorted(self.grams, own, "right")
+        n = high - low
+        return near, np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(own) else none
+
+
 class Tests:
-    """All windows of a block of test items."""
+    """All windows of a block of test items. Only the texts are sent; each worker indexes them once, in about five times their bytes."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.window = window
-        words, at = words_of([t for _, t in items])
-        keys, lengths, owners = [], [], []
-        for k, (name, _) in enumerate(items):
-            n = int(at[k + 1] - at[k])
-            size = min(window, n)
-            for s in range(at[k], at[k + 1] - size + 1) if n else ():
-                keys.append(s)
-                lengths.append(size)
-                owners.append((name, int(at[k + 1])))
-        self.names: list[list[str]] = []
-        self.low = self.high = np.zeros(0, f"S{8 * window}")
-        self.lengths = np.zeros(0, np.int64)
-        self.lead = min([LEAD, *lengths])
-        self.grams = np.zeros(0, np.uint64)
-        if not keys:
-            return
-        start, size = np.array(keys), np.array(lengths)
-        low = _keys(words, start, start + size, window)
-        order = np.argsort(low, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], low[order][1:] != low[order][:-1]]))
-        first = order[edge]
-        self.low, self.lengths = low[first], size[first]
-        # Above all suffixes that begin with the window: what lies beyond it is filled with ones.
-        filled = self.low.view(np.uint8).reshape(-1, 8 * window).copy()
-        filled[np.arange(8 * window)[None, :] >= 8 * self.lengths[:, None]] = 255
-        self.high = np.ascontiguousarray(filled).view(f"S{8 * window}").ravel()
-        for group in np.split(order, edge[1:]):
-            self.names.append(sorted({owners[i][0] for i in group}))
-        self.grams = np.unique(_grams(words, start, self.lead))
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.grams & np.uint64((1 << 20) - 1)] = True
+        self.items, self.window, self._index = items, window, None
+
+    def __getstate__(self):
+        return {"items": self.items, "window": self.window, "_index": None}
+
+    def index(self) -> tuple[np.ndarray, np.ndarray, list[_Lead]]:
+        """Words of all items, the place of each item's first, and its windows by the length of their lead."""
+        if self._index is None:
+            words, at = words_of([t for _, t in self.items])
+            n = np.diff(at)
+            size = np.minimum(n, self.window)
+            count = np.where(n > 0, n - size + 1, 0)
+            start = np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(n) else n
+            size = np.repeat(size, count)
+            leads = [(lead, size >= LEAD if lead == LEAD else size == lead) for lead in range(1, LEAD + 1)]
+            self._index = words, at, [_Lead(words, start[own], size[own], lead) for lead, own in leads if own.any()]
+        return self._index
 
     def find(self, texts: list[str | None]) -> list[tuple[int, np.ndarray, np.ndarray, list[str]]]:
         """For each text: its words, merged stretches (start, end) of hit words, and the sorted items found."""
+        test_words, item_at, leads = self.index()
         words, at = words_of(texts)
-        out = [[int(at[k + 1] - at[k]), np.zeros(0, np.int32), np.zeros(0, np.int32), []] for k in range(len(texts))]
-        last = len(words) - self.lead + 1
-        if not len(self.low) or last <= 0:
-            return [tuple(x) for x in out]
-        grams = _grams(words, np.arange(last), self.lead)
-        near = np.flatnonzero(self.bits[grams & np.uint64((1 << 20) - 1)])
-        g = grams[near]
-        k = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
-        places = near[self.grams[k] == g]
-        if not len(places):
-            return [tuple(x) for x in out]
-        owner = np.searchsorted(at, places, side="right") - 1
-        keys = _keys(words, places, at[owner + 1], self.window)
-        order = np.argsort(keys, kind="stable")  # the suffix array of this shard
-        ranked = keys[order]
-        lo, hi = np.searchsorted(ranked, self.low, "left"), np.searchsorted(ranked, self.high, "right")
         begins: list[list[np.ndarray]] = [[] for _ in texts]
         items: list[set[str]] = [set() for _ in texts]
-        for t in np.flatnonzero(hi > lo):
-            found = np.sort(order[lo[t] : hi[t]])
-            docs, first = np.unique(owner[found], return_index=True)
-            for d, s in zip(docs.tolist(), np.split(places[found], first[1:]), strict=True):
-                begins[d].append(np.stack([s - at[d], s - at[d] + self.lengths[t]]))
-                items[d].update(self.names[t])
+        for lead in leads:
+            places, tests = lead.places(words)
+            if not len(places):
+                continue
+            owner = np.searchsorted(at, places, side="right") - 1
+            keys = _keys(words, places, at[owner + 1], self.window)
+            order = np.argsort(keys, kind="stable")  # the suffix array of this shard
+            ranked = keys[order]
+            for k in range(0, len(tests), CHUNK):
+                own = tests[k : k + CHUNK]
+                start, size = lead.start[own].astype(np.int64), lead.size[own].astype(np.int64)
+                low, first, inverse = np.unique(_keys(test_words, start, start + size, self.window), return_index=True, return_inverse=True)
+                # Above all suffixes that begin with the window: what lies beyond it is filled with ones.
+                high = low.view(np.uint8).reshape(-1, 8 * self.window).copy()
+                high[np.arange(8 * self.window)[None, :] >= 8 * size[first][:, None]] = 255
+                lo, hi = np.searchsorted(ranked, low, "left"), np.searchsorted(ranked, np.ascontiguousarray(high).view(low.dtype).ravel(), "right")
+                hit = np.flatnonzero(hi > lo)
+                if not len(hit):
+                    continue
+                holders = np.argsort(inverse, kind="stable")
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(low)))])
+                item = np.searchsorted(item_at, start, side="right") - 1
+                for t in hit.tolist():
+                    names = {self.items[i][0] for i in np.unique(item[holders[cuts[t] : cuts[t + 1]]]).tolist()}
+                    found = np.sort(order[lo[t] : hi[t]])
+                    docs, begin = np.unique(owner[found], return_index=True)
+                    for d, s in zip(docs.tolist(), np.split(places[found], begin[1:]), strict=True):
+                        begins[d].append(np.stack([s - at[d], s - at[d] + size[first[t]]]))
+                        items[d].update(names)
+        out = []
         for d, runs in enumerate(begins):
-            if runs:
-                s, e = merged(*np.hstack(runs))
-                out[d][1:] = [s.astype(np.int32), e.astype(np.int32), sorted(items[d])]
-        return [tuple(x) for x in out]
+            s, e = merged(*np.hstack(runs)) if runs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            out.append((int(at[d + 1] - at[d]), s.astype(np.int32), e.astype(np.int32), sorted(items[d])))
+        return out
 
 
 def _grams(words: np.ndarray, starts: np.ndarray, lead: int) -> np.ndarray:
@@ -184,7 +207,12 @@ def _together(a: Column, b: Column) -> Column:
 
 
 def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "hits", window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """docs with a struct column ``into``: n_words, starts and ends of merged hit stretches, items."""
+    """docs with a struct column ``into``: n_words, starts and ends of merged hit stretches, items.
+
+    A column of that name in docs is an error. An empty table of either kind gives no hits.
+    """
+    if free_name(docs, into) != into:
+        raise ValueError(f"docs has a column {into}")
     rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // item_bytes))
@@ -196,7 +224,7 @@ def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: st
         if k == 0:
             out = out.withColumn(into, _search(F.col(text_col), tests))
         else:
-            more = f"{into}_more"
+            more = free_name(out, f"{into}_more")
             out = out.withColumn(more, _search(F.col(text_col), tests)).withColumn(into, _together(F.col(into), F.col(more))).drop(more)
     return out
 
