@@ -1,8 +1,8 @@
 """Connected components of a graph given as links, by alternating large-star and small-star steps.
 
 Each step links nodes to the smallest neighbour known; minima are pre-aggregated
-before the shuffle, and the joins that hand them out can be split where a node has
-very many neighbours. Every round is written to the shared folder, so a lost
+before the shuffle, and those of nodes with very many neighbours are handed out by broadcast (of a bounded number
+of nodes). Every round is written to the shared folder, so a lost
 executor costs no earlier round. The number of rounds grows with the logarithm of
 the longest chain.
 """
@@ -12,19 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import joined_by_size, stash
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, n: int) -> DataFrame:
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("size"))
+    return joined_by_size(both.where("b > a"), least, "a", "size", n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    handed = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
+    handed = joined_by_size(down, least, "a", "size", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return handed.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
@@ -40,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     e = stash(links.select("a", "b").where("a != b").distinct())
     mark = _mark(e)
     while mark[0]:
-        e = stash(_small(_large(e)))
+        large = stash(_large(e, mark[0]))
+        e = stash(_small(large, mark[0]))
         new = _mark(e)
         if new == mark:
             break
