@@ -160,7 +160,7 @@ def test_embeddings(spark, shard):
         rows.append((k * 3 % 220, [float(x) for x in v], int(k % 20 % 3)))
     rows += [(500, None, 1), (501, [0.0] * 8, 1), (502, [float("nan")] + [1.0] * 7, 1), (503, [None] + [1.0] * 7, 1), (504, rows[0][1], None), (None, rows[1][1], rows[1][2]), (505, [], 1), (506, [1.0, 2.0], 1), (507, [2.0, 4.0], 1), (508, [float("inf")] * 8, 1), rows[4], rows[4]]
     df = spark.createDataFrame([(*x, "n") for x in rows], "vec_id long, embedding array<double>, label int, N_LINKS string")
-    got = sorted(map(tuple, embeddings.near_duplicates(df, shard=shard).collect()), key=str)
+    got = sorted(map(tuple, embeddings.near_duplicates(df, shard=shard).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
     linked = brute_links(rows)
     degree = np.zeros(len(rows), int)
     root = list(range(len(rows)))
@@ -191,6 +191,32 @@ def test_graph_recall_in_clusters():
     x = np.vstack([centres[k % 6] * (k < 900) + r.normal(size=32) * (0.02 if k < 900 else 1) for k in range(1500)])
     x /= np.linalg.norm(x, axis=1)[:, None]
     g = embeddings.Graph(x)
-    hits = embeddings.audited(g, x, 0.98)
-    true = x.astype(np.float32) @ x.astype(np.float32).T >= 0.98
-    assert sum(int(true[k][h].sum()) for k, h in enumerate(hits)) / true.sum() > 0.98
+    beam, seen, hit = embeddings.audited(g, x, 0.98 - 1e-4, True)
+    found, true = embeddings.linked(g, x, x, 0.98, True, beam), x @ x.T >= 0.98
+    np.fill_diagonal(true, False)
+    assert seen >= 200 and hit >= 0.98 * seen and (found & ~true).sum() == 0 and found.sum() / true.sum() > 0.99
+
+
+def test_rare_links_between_shards_are_audited_and_found():
+    r = np.random.default_rng(7)
+    x, q = r.normal(size=(4000, 32)), r.normal(size=(4000, 32))
+    q[:60] = x[100:160] + r.normal(size=(60, 32)) * 0.03
+    x, q = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, q))
+    g, true = embeddings.Graph(x), q @ x.T >= 0.98
+    beam, seen, hit = embeddings.audited(g, q, 0.98 - 1e-4, False)
+    found = embeddings.linked(g, x, q, 0.98, False, beam)
+    assert seen >= true.sum() >= 40 and hit >= 0.98 * seen and (found & ~true).sum() == 0 and found.sum() >= 0.98 * true.sum()
+    assert sorted(embeddings._forest(found, False)) == sorted((int(i), 4000 + int(j)) for i, j in np.argwhere(found))
+
+
+def test_a_shard_of_near_equal_vectors_needs_no_list_of_pairs():
+    import resource
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=32) + r.normal(size=(3000, 32)) * 0.001
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g = embeddings.Graph(x)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = embeddings.linked(g, x, x, 0.98, True, embeddings.audited(g, x, 0.98 - 1e-4, True)[0])
+    assert found.sum() == 3000 * 2999 and len(list(embeddings._forest(found, True))) == 2999
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB; a list of pairs took four times as much

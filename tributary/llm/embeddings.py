@@ -3,11 +3,12 @@
 Equal vectors are taken together first. The classes of one label and dimension are
 dealt by hash over shards of bounded size; each shard gets its own hierarchical
 graph. Every shard of a label is queried with the vectors of every shard up to its
-own (a link is found from one of its ends), one task for each pair of shards. A
-search keeps a beam of the best nodes, then floods over hits to take whole
-clusters. A sample of queries is compared to brute force: while their recall is
-below ``recall``, the beam doubles, up to the whole shard. Hits are verified by cosine in
-double precision. A task returns numbers of links and a spanning forest, never all pairs.
+own (a link is found from one of its ends); a task holds one graph and one block of queries at a time. A
+search keeps a beam of the best nodes; a beam full of hits is widened, at last to the whole shard. Queries are drawn
+and compared to brute force until enough links between different vectors have been seen: while their recall is
+below ``recall``, the beam doubles. Hits are verified by cosine in
+double precision and marked in a table of one byte for each pair of a task's vectors; it returns numbers of links and a
+spanning forest, never all pairs. The audits' recall is reported with the result.
 
 Vectors that are null or empty, of zero length, with null or non-finite components,
 or with a null label link with nothing and form their own components. Each row is a
@@ -25,13 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import joined_by_size, stash
 from .components import components
 
 COSINE = 0.98
 SHARD = 8192
 RECALL = 0.98
-AUDIT = 128
+#: Links between different vectors that an audit must see, unless all queries have been tried.
+AUDIT_LINKS = 200
 _SLACK = 1e-4  # single against double precision
 
 
@@ -125,98 +127,130 @@ class Graph:
             fresh[live] &= sims[live] > -2
         return ids, sims
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """For each query, nodes whose cosine is at least ``least``."""
-        out = []
+    def within(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """(rows of q, their hits) in turn: nodes whose cosine is at least ``least``, or None where the whole shard is to be weighed.
+
+        A beam that holds nothing but hits may leave some out, so it is widened, at last to the whole shard.
+        """
         q = q.astype(np.float32)
-        if beam >= len(self.x):  # nothing is left to skip
-            for at in range(0, len(q), 512):
-                s = q[at : at + 512] @ self.x.T
-                out += [np.flatnonzero(r >= least) for r in s]
-            return out
         for at in range(0, len(q), 256):
-            part = q[at : at + 256]
-            start = np.full(len(part), self.entry)
-            for layer in range(len(self.near) - 1, 0, -1):
-                start = self._beam(part, start, layer, 4)[0][:, 0]
-            ids, sims = self._beam(part, start, 0, beam)
-            for k in range(len(part)):
-                hits = ids[k][sims[k] >= least]
-                out.append(self._flood(part[k], hits, least) if len(hits) else hits)
-        return out
-
-    def _flood(self, q: np.ndarray, hits: np.ndarray, least: float) -> np.ndarray:
-        seen = np.zeros(len(self.x) + 1, bool)
-        seen[-1] = True
-        seen[hits] = True
-        found, edge = [hits], hits
-        while len(edge):
-            near = np.unique(self.near[0][edge])
-            near = near[(near >= 0) & ~seen[near]]
-            seen[near] = True
-            edge = near[self.x[near] @ q >= least]
-            found.append(edge)
-        return np.concatenate(found)
+            rows, wide = np.arange(at, min(at + 256, len(q))), beam
+            while len(rows):
+                if 4 * wide >= len(self.x):
+                    yield rows, None
+                    break
+                start = np.full(len(rows), self.entry)
+                for layer in range(len(self.near) - 1, 0, -1):
+                    start = self._beam(q[rows], start, layer, 4)[0][:, 0]
+                ids, sims = self._beam(q[rows], start, 0, wide)
+                hit = sims >= least
+                full = hit.all(axis=1)
+                for k in np.flatnonzero(~full & hit.any(axis=1)).tolist():
+                    yield rows[k : k + 1], ids[k][hit[k]]
+                rows, wide = rows[full], 4 * wide
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def audited(graph: Graph, q: np.ndarray, least: float, recall: float = RECALL, audit: int = AUDIT, beam: int = 32) -> list[np.ndarray]:
-    """Hits of all queries; the beam widens until a sample, spread evenly, finds its share of what brute force finds."""
-    sample = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
-    true = q[sample].astype(np.float32) @ graph.x.T >= least
+def _truth(graph: Graph, q: np.ndarray, least: float, same: bool, links: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Queries in an order of chance and the nodes each must find by brute force, until ``links`` links are seen or all queries."""
+    order, rows, true, seen = np.random.default_rng(9).permutation(len(q)), [], [], 0
+    for at in range(0, len(q), 64):
+        own = order[at : at + 64]
+        near = q[own].astype(np.float32) @ graph.x.T >= least
+        if same:
+            near[np.arange(len(own)), own] = False
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            rows.append(own[k])
+            true.append(np.flatnonzero(near[k]))
+            seen += len(true[-1])
+        if seen >= links:
+            break
+    return np.array(rows, np.int64), true
+
+
+def audited(graph: Graph, q: np.ndarray, least: float, same: bool, recall: float = RECALL, links: int = AUDIT_LINKS, beam: int = 32) -> tuple[int, int, int]:
+    """A beam whose recall, the mean over queries with links to other vectors, reaches ``recall``; links audited and found."""
+    rows, true = _truth(graph, q, least, same, links)
+    seen = sum(map(len, true))
     while True:
-        hits = graph.within(q, least, beam)
-        found = sum(int(true[k][hits[s]].sum()) for k, s in enumerate(sample))
-        if found >= recall * true.sum() or beam >= len(graph.x):
-            return hits
+        found = np.zeros(len(rows), np.int64)
+        for k, hits in graph.within(q[rows], least, beam):
+            for i in k.tolist():
+                found[i] = len(true[i]) if hits is None else len(np.intersect1d(true[i], hits))
+        if not len(rows) or np.mean(found / [len(t) for t in true]) >= recall or 4 * beam >= len(graph.x):
+            return beam, seen, int(found.sum())
         beam *= 2
 
 
-def _pairs(parts: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFrame]:
-    """For each pair of shards: (id, linked weight) rows and forest links (id, other)."""
-    for pdf in parts:
-        for graph_blob, query_blob, same in zip(pdf["graph"], pdf["query"], pdf["same"], strict=True):
-            graph, ids, size, x = pickle.loads(graph_blob)
-            q_ids, q_size, q = pickle.loads(query_blob)
-            hits = audited(graph, q, cosine - _SLACK)
-            lengths = [len(h) for h in hits]
-            a, b = np.repeat(np.arange(len(q)), lengths), np.concatenate(hits) if hits else np.zeros(0, int)
+def linked(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, same: bool, beam: int) -> np.ndarray:
+    """Queries by nodes: whether the pair was found and its cosine, in double precision, is enough. One byte for a pair of vectors of two shards."""
+    out = np.zeros((len(q), len(x)), bool)
+    for rows, hits in graph.within(q, cosine - _SLACK, beam):
+        if hits is None:
+            out[rows] = q[rows] @ x.T >= cosine
+        else:
+            out[rows[0], hits] = x[hits] @ q[rows[0]] >= cosine
+    if same:
+        out |= out.T  # a link may be found from either end
+        np.fill_diagonal(out, False)
+    return out
+
+
+def _forest(links: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
+    """(root, node) for each node of each component; of two shards, nodes follow queries in number."""
+    n = len(links)
+    left = np.concatenate([links.any(axis=1), [] if same else links.any(axis=0)]).astype(bool)
+    while left.any():
+        root = int(left.argmax())
+        left[root] = False
+        edge = np.array([root])
+        while len(edge):
+            step = np.zeros(len(left), bool)
             if same:
-                # A link may be found from either end.
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                both = np.unique(low * len(q) + high)
-                a, b = both // len(q), both % len(q)
-                a, b = a[a != b], b[a != b]
-            keep = np.concatenate([np.einsum("nd,nd->n", q[a[k : k + 65536]], x[b[k : k + 65536]]) >= cosine for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
-            a, b = a[keep], b[keep]
-            weight: dict[int, int] = {}
-            for own, other_size in ((q_ids[a], size[b]), (ids[b], q_size[a])):
-                u, inverse = np.unique(own, return_inverse=True)
-                for i, w in zip(u.tolist(), np.bincount(inverse, weights=other_size).astype(np.int64).tolist(), strict=True):
-                    weight[i] = weight.get(i, 0) + w
-            root: dict[int, int] = {}
-
-            def find(k: int, root: dict[int, int] = root) -> int:
-                while root.setdefault(k, k) != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
-            forest = []
-            for i, j in zip(q_ids[a].tolist(), ids[b].tolist(), strict=True):
-                p, r = find(i), find(j)
-                if p != r:
-                    root[max(p, r)] = min(p, r)
-                    forest.append((i, j))
-            rows = [(i, None, w) for i, w in weight.items()] + [(i, j, None) for i, j in forest]
-            yield pd.DataFrame(rows, columns=["id", "other", "weight"]).astype({"id": "Int64", "other": "Int64", "weight": "Int64"})
+                step = links[edge].any(axis=0)
+            else:
+                step[n:] = links[edge[edge < n]].any(axis=0)
+                step[:n] = links[:, edge[edge >= n] - n].any(axis=1)
+            edge = np.flatnonzero(step & left)
+            left[edge] = False
+            for k in edge.tolist():
+                yield root, k
+
+
+_FOUND = "id long, other long, weight long, seen long, hit long"
+
+
+def _searched(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """One graph and some blocks of queries: (id, linked weight), forest links (id, other) and audits (links seen, found)."""
+    pdf = pdf.sort_values("q")
+    graph, ids, size, x = pickle.loads(pdf["blob"].iloc[0])
+    rows = []
+    for blob, same in zip(pdf["blob"].iloc[1:], pdf["q"].iloc[1:] == pdf["g"].iloc[0], strict=True):
+        q_ids, q_size, q = pickle.loads(blob)
+        beam, seen, hit = audited(graph, q, cosine - _SLACK, same)
+        links = linked(graph, x, q, cosine, same, beam)
+        names = q_ids if same else np.concatenate([q_ids, ids])
+        weight = np.concatenate([links[k : k + 256] @ size for k in range(0, len(links), 256)])
+        if not same:
+            weight = np.concatenate([weight, *(q_size @ links[:, k : k + 256] for k in range(0, links.shape[1], 256))])
+        rows.append((None, None, None, seen, hit))
+        rows += [(int(names[k]), None, int(weight[k]), None, None) for k in np.flatnonzero(weight).tolist()]
+        rows += [(int(names[a]), int(names[b]), None, None, None) for a, b in _forest(links, same)]
+    return pd.DataFrame(rows, columns=["id", "other", "weight", "seen", "hit"]).astype("Int64")
+
+
+#: Blocks of queries that meet one copy of a graph.
+SLICE = 8
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors."""
+    """vec_id, n_links, component_id, kept for each row of vectors; the audits' links and recall, equal in all rows.
+
+    An empty table gives an empty table; other columns of vectors are not looked at.
+    """
     v = F.col(vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -241,15 +275,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     label_type = dict(rows.dtypes)["label"]
     built = stash(dealt.select("label", "d", "s", "shards", "id", "size", "v").groupBy("label", "d", "s").applyInPandas(build, f"label {label_type}, d int, s long, shards long, graph binary, query binary"))
-    graphs = built.select("label", "d", F.col("s").alias("g"), "graph", F.explode(F.sequence("s", F.col("shards") - 1)).alias("q"))
-    asked = built.select("label", "d", F.col("s").alias("q"), "query", F.explode(F.sequence(F.lit(0).cast("long"), "s")).alias("g"))
-    pairs = graphs.join(asked, ["label", "d", "g", "q"]).select("graph", "query", (F.col("g") == F.col("q")).alias("same"))
-    found = stash(pairs.repartition(max(8, classes.sparkSession.sparkContext.defaultParallelism)).mapInPandas(lambda parts: _pairs(parts, cosine), "id long, other long, weight long"))
+    # Two shards meet at one of them: at the other's left by at most half the ring of shards, so all graphs get as many queries.
+    half = F.floor(F.col("shards") / 2)
+    graphs = built.select("label", "d", F.col("s").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(half / SLICE))).alias("part"), F.lit(-1).cast("long").alias("q"), F.col("graph").alias("blob"))
+    turns = built.select("label", "d", "shards", F.col("s").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), half)).alias("turn"), "query")
+    asked = turns.withColumn("g", F.pmod(F.col("q") - F.col("turn"), F.col("shards"))).where((F.col("turn") * 2 != F.col("shards")) | (F.col("g") < F.col("q")))
+    asked = asked.select("label", "d", "g", F.floor(F.col("turn") / SLICE).alias("part"), "q", F.col("query").alias("blob"))
+    found = stash(graphs.union(asked).groupBy("label", "d", "g", "part").applyInPandas(lambda pdf: _searched(pdf, cosine), _FOUND))
+    audit = found.agg(F.sum("hit"), F.sum("seen")).first()
     weights = found.where("weight is not null").groupBy("id").agg(F.sum("weight").alias("weight"))
-    root = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    placed = classes.join(weights, "id", "left").join(root, F.col("id") == F.col("node"), "left").select("label", "v", "size", "least", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("component", "id").alias("component"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = placed.join(least, "component").select("label", "v", (F.col("weight") + F.col("size") - 1).alias("n_links"), "component_id")
-    linked = rows.where("v is not null").join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    root = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("id"), "component")
+    placed = stash(classes.join(weights, "id", "left").join(root, "id", "left").select("label", "v", "size", "least", F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("component", "id").alias("component")))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    total = placed.count()
+    known = joined_by_size(placed, least, "component", "members", total).select(F.struct("label", "v").alias("key"), "size", (F.col("weight") + F.col("size") - 1).alias("n_links"), "component_id")
+    good = rows.where("v is not null").select("vec_id", F.struct("label", "v").alias("key"))
+    named = joined_by_size(good, stash(known), "key", "size", int(placed.agg(F.sum("size")).first()[0] or 0)).select("vec_id", "n_links", "component_id")
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    out = named.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("audited_links", F.lit(int(audit[1] or 0)).cast("long")).withColumn("audited_recall", F.lit(audit[0] / audit[1] if audit[1] else 1.0))
