@@ -13,7 +13,7 @@ from tributary.llm import quality as q  # noqa: E402
 from tributary.llm.queries import tokenizer_path  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
-ODD = [(1, None, "x"), (2, "", "x"), (None, "Hello World", None), (1, "Hello World", "x"), (1, "Hello World", "x"), (3, "\t \n", "x"), (4, "ab" * 5000, "x"), (5, "é́ ŐÝ <|endoftext|>x's 12.5", "x"), (6, "123 456", "x")]
+ODD = [(1, None, "x"), (2, "", "x"), (None, "Hello World", None), (1, "Hello World", "x"), (1, "Hello World", "x"), (3, "\t \n", "x"), (4, "ab" * 5000, "x"), (5, "é́ ŐÝ <|endoftext|>x's 12.5", "x"), (6, "123 456", "x"), (7, "some words, and more of them " * 90, "x")]
 SCHEMA = "doc_id long, text string, LANG_PRED string"
 
 
@@ -30,20 +30,22 @@ def reference():
 def test_bpe_trees_equal_the_library():
     t, e, r = reference(), bpe.Encoder(tokenizer_path(), leaf=32), random.Random(4)
     for k in range(300):
-        letters = r.choice(["ab", "aeinrst", "ab'1!é", "你好aß", "thein<|endoftext|>"])
+        letters = r.choice(["ab", "aeinrst", "ab'1!é", "你好aß", "thein<|endoftext|>", "the ine ", "e\u0301 a\t\n", "a\u00a0\u2003\x1c b"])
         text = "".join(r.choice(letters) for _ in range(r.choice([5, 40, 400, 1500])))
-        ids, decoded = e.encode_bytes(text + (" tail" if k % 2 else ""))
+        ids, decoded, joins = e.encode_bytes(text + (" tail" if k % 2 else ""))
+        assert (joins > 0) == (len(text) + 5 * (k % 2) > 32)
         want = t.encode(text + (" tail" if k % 2 else ""), add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == t.decode(want, skip_special_tokens=False)
 
 
 def test_bpe_on_rows_and_spread_leaves(spark):
     t = reference()
-    for spread in (1 << 16, 100):
-        out = bpe.encode(odd(spark), tokenizer_path(), outputs=("n_tokens", "ids", "decoded"), leaf=64, spread=spread)
+    for spread in (1 << 16, 300, 100):
+        out = bpe.encode(odd(spark), tokenizer_path(), outputs=("n_tokens", "ids", "decoded", "n_joins"), leaf=64, spread=spread)
         assert out.columns == ["doc_id", "text", "LANG_PRED", "bpe"]
         for r in out.collect():
             want = t.encode(r["text"] or "", add_special_tokens=False).ids
+            assert r["bpe"]["n_joins"] == max(-(-len(r["text"] or "") // 64) - 1, 0)
             assert (r["bpe"]["ids"], r["bpe"]["n_tokens"], r["bpe"]["decoded"]) == (want, len(want), t.decode(want, skip_special_tokens=False))
     again = out.select("bpe.decoded", bpe.decoded(F.col("bpe.ids"), tokenizer_path()).alias("d")).collect()
     assert all(r[0] == r[1] for r in again) and len(again) == len(ODD)

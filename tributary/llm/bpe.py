@@ -1,19 +1,20 @@
-"""BPE encoding and decoding with a public vocabulary; long unsplit text by tree concatenation.
+"""BPE encoding and decoding with a public vocabulary; long texts by tree concatenation.
 
 White space is dropped by the vocabulary's own splitter, so a text falls apart
 at ASCII white space into chunks whose ids don't depend on their neighbours.
-Chunks are encoded once per worker and kept in a bounded cache. A chunk of more
-than ``leaf`` characters is cut in halves down to leaves; leaves are encoded
-without regard to their neighbours and joined pairwise: a window around the join
-is encoded afresh and widened until its outer tokens agree with both sides.
-Since every adjacent pair of tokens is then one that the merge rules give, the
-joined list is the encoding of the whole.
-
-Texts with an unsplit run above ``spread`` characters have their leaves encoded
-in separate tasks; the others are encoded in place.
-
-Nulls count as empty texts, which have no ids and decode to the empty text.
-Repeated rows give repeated rows. The vocabulary file's place is a parameter
+Chunks are encoded once per worker and kept in a bounded cache.
+
+A text of more than ``leaf`` characters is cut into halves, wherever the middle falls, down to leaves of at most that
+size. Leaves are encoded without regard to their neighbours and joined pairwise: what touches the join is encoded afresh
+in a window that grows on both sides until both agree. At white space they agree at once, so the window is the torn
+chunk. Within an unsplit run longer than a leaf it grows by tokens until its outer ones are those of both sides;
+since every adjacent pair of tokens is then one that the merge rules give, the joined list is the encoding of the whole.
+
+Leaves of texts above ``spread`` characters are encoded in separate tasks, and the joins made where the text's row is;
+the others are encoded in place.
+
+Nulls count as empty texts, which have no ids and decode to the empty text. Long texts are encoded whole.
+Repeated rows give repeated rows; an empty table gives an empty table. The vocabulary file's place is a parameter
 and must be readable on every executor.
 """
 
@@ -38,7 +39,9 @@ SPREAD = 1 << 16
 CACHE = 120_000
 #: Rows that leave a worker at once.
 ROWS = 256
-OUTPUTS = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+#: n_joins: how many joins of halves made the text's ids, 0 for one that is no longer than a leaf.
+OUTPUTS = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "n_joins": "long"}
+_SPACES = " \t\n\x0b\f\r"
 
 
 class _Cache(dict):
@@ -54,6 +57,22 @@ class _Cache(dict):
         return out
 
 
+class _Half:
+    """A stretch of text: its chunks' encodings (a torn chunk that is still growing stands as text), its outer chunks, and whether it begins or ends with white space."""
+
+    def __init__(self, text: str, pairs: list):
+        chunks = text.encode("utf-8", "surrogatepass").split()
+        self.pairs = pairs
+        self.first, self.last = (c.decode("utf-8", "surrogatepass") for c in ((chunks[0], chunks[-1]) if chunks else (b"", b"")))
+        self.begins, self.ends = text[:1] in _SPACES, text[-1:] in _SPACES
+
+    @classmethod
+    def of(cls, a: _Half, b: _Half, pairs: list, first: str, last: str) -> _Half:
+        out = cls("", pairs)
+        out.first, out.last, out.begins, out.ends = first, last, a.begins, b.ends
+        return out
+
+
 class Encoder:
     """Encodes whole texts with the tokenizers library's vocabulary at ``path``."""
 
@@ -191,11 +210,36 @@ class Encoder:
                 return left[:i] + window + right[j:]
             reach *= 2
 
-    def encode_bytes(self, text: str | None) -> tuple[bytes, bytes]:
-        """ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        pairs = list(map(self.cache.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
+    def encode_bytes(self, text: str | None) -> tuple[bytes, bytes, int]:
+        """ids as little-endian unsigned 32-bit integers, the decoded text, and the number of joins."""
+        text = text or ""
+        if len(text) <= self.leaf:
+            return *self._bytes(self._pairs(text)), 0
+        return self.concatenated([(text[i : i + self.leaf], None) for i in range(0, len(text), self.leaf)])
+
+    def _pairs(self, text: str) -> list[tuple[bytes, bytes]]:
+        return list(map(self.cache.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+
+    def _bytes(self, pairs: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
         return b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])[:-1]
 
+    def concatenated(self, leaves: list[tuple[str, list[tuple[bytes, bytes]] | None]]) -> tuple[bytes, bytes, int]:
+        """Joins leaves (text, its encoded chunks or None) pairwise, level by level, by halves."""
+        level = [_Half(t, self._pairs(t) if pairs is None else pairs) for t, pairs in leaves]
+        joins = len(level) - 1
+        while len(level) > 1:
+            level = [self._joined(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        pairs = [self.cache[p.encode("utf-8", "surrogatepass")] if isinstance(p, str) else p for p in level[0].pairs]
+        return *self._bytes(pairs), joins
+
+    def _joined(self, a: _Half, b: _Half) -> _Half:
+        """A torn chunk is encoded afresh, at once or, if it is longer than a leaf, when it is whole."""
+        if not a.pairs or not b.pairs or a.ends or b.begins:
+            return _Half.of(a, b, a.pairs + b.pairs, a.first if a.pairs else b.first, b.last if b.pairs else a.last)
+        torn = a.last + b.first
+        pair = torn if len(torn) > self.leaf else self.cache[torn.encode("utf-8", "surrogatepass")]
+        return _Half.of(a, b, a.pairs[:-1] + [pair] + b.pairs[1:], torn if len(a.pairs) == 1 else a.first, torn if len(b.pairs) == 1 else b.last)
+
     def decode(self, ids) -> str:
         return " ".join([self.names[i] for i in ids if i < len(self.names)])
 
@@ -209,13 +253,14 @@ def encoder(path: str, leaf: int = LEAF) -> Encoder:
     return _encoders[path, leaf]
 
 
-def _outputs(ids: bytes, decoded: bytes, outputs: tuple[str, ...]) -> tuple:
+def _outputs(ids: bytes, decoded: bytes, joins: int, outputs: tuple[str, ...]) -> tuple:
     make = {
         "ids": lambda: np.frombuffer(ids, "<u4").astype("int32"),
         "decoded": lambda: decoded.decode("utf-8", "replace"),
         "n_tokens": lambda: len(ids) // 4,
         "ids_sha256": lambda: hashlib.sha256(ids).hexdigest(),
         "decoded_sha256": lambda: hashlib.sha256(decoded).hexdigest(),
+        "n_joins": lambda: joins,
     }
     return tuple(make[o]() for o in outputs)
 
@@ -247,70 +292,65 @@ def decoded(ids: Column, path: str) -> Column:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), into: str = "bpe", leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
-    """docs with a struct column ``into`` of outputs; texts with a huge unsplit run are encoded by many tasks."""
+    """docs with a struct column ``into`` of outputs; texts above spread characters are encoded by many tasks.
+
+    A column of that name in docs is an error. One task holds the ids of one text, which its row needs anyhow.
+    """
+    if free_name(docs, into) != into:
+        raise ValueError(f"docs has a column {into}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    huge = (F.length(text) > spread) & text.rlike(rf"[^ \t\n\x0B\f\r]{{{spread}}}")
+    huge = F.length(text) > spread
     rest = docs.where(~huge).withColumn(into, encoded(F.col(text_col), path, outputs, leaf))
     long = docs.where(huge)
-    leaves = (
+    size = max(leaf, -(-(spread // 4) // leaf) * leaf)  # whole leaves, so that a text is cut alike in place and here
+    pieces = (
         long.select(F.col(text_col).alias("text")).withColumn("key", F.sha2("text", 256)).dropDuplicates(["key"])
-        .mapInPandas(lambda parts: _cut(parts, path, leaf), "key string, run long, leaf long, last boolean, piece string, id int")
-        .repartition(F.col("key"), F.col("run"), F.col("leaf"))
-        .mapInPandas(lambda parts: _encode_leaves(parts, path, leaf), "key string, run long, leaf long, piece string, ids array<int>")
+        .mapInPandas(lambda parts: _cut(parts, size), "key string, at int, piece string")
+        .repartition(F.col("key"), F.col("at"))
+        .mapInPandas(lambda parts: _encode_pieces(parts, path, leaf), "key string, at int, piece string, ids array<binary>, decoded array<binary>")
     )
-    names = ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)
-    joined = leaves.groupBy("key").applyInPandas(lambda k, pdf: _join_leaves(k, pdf, path, leaf, outputs), f"key string, out struct<{names.replace(' ', ':').replace(',:', ',')}>")
+    joined = pieces.groupBy("key").applyInPandas(lambda k, pdf: _join_pieces(k, pdf, path, leaf, outputs), f"key string, out struct<{', '.join(f'{o}:{OUTPUTS[o]}' for o in outputs)}>")
     key = free_name(docs, "text_key")
     wide = long.withColumn(key, F.sha2(F.col(text_col), 256)).join(joined.select(F.col("key").alias(key), F.col("out").alias(into)), key).drop(key)
     return rest.unionByName(wide)
 
 
-def _cut(parts: Iterator[pd.DataFrame], path: str, leaf: int) -> Iterator[pd.DataFrame]:
-    """Rows for the leaves of each text: short chunks stay whole, long unsplit runs are cut; an id stands for a special token."""
+def _cut(parts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for pdf in parts:
-        enc = encoder(path, leaf)
         for key, text in zip(pdf["key"], pdf["text"], strict=True):
-            rows, run, held = [], 0, []
-            for chunk in text.encode("utf-8", "surrogatepass").split():
-                if len(chunk) <= leaf:
-                    held.append(chunk)
-                    continue
-                if held:
-                    rows.append((key, run, -1, True, b" ".join(held).decode("utf-8", "surrogatepass"), None))
-                    run, held = run + 1, []
-                for piece in enc.pieces(chunk.decode("utf-8", "surrogatepass")):
-                    if isinstance(piece, int):
-                        rows.append((key, run, 0, True, "", piece))
-                    else:
-                        starts = range(0, len(piece), leaf)
-                        rows += [(key, run, k, i == starts[-1], piece[i : i + leaf], None) for k, i in enumerate(starts)]
-                    run += 1
-            if held:
-                rows.append((key, run, -1, True, b" ".join(held).decode("utf-8", "surrogatepass"), None))
-            for at in range(0, len(rows), 1000):
-                yield pd.DataFrame(rows[at : at + 1000], columns=["key", "run", "leaf", "last", "piece", "id"]).astype({"id": "Int32"})
-
-
-def _encode_leaves(parts: Iterator[pd.DataFrame], path: str, leaf: int) -> Iterator[pd.DataFrame]:
+            for at in range(0, len(text), 64 * size):
+                pieces = [text[i : i + size] for i in range(at, min(at + 64 * size, len(text)), size)]
+                yield pd.DataFrame({"key": key, "at": range(at // size, at // size + len(pieces)), "piece": pieces}).astype({"at": "int32"})
+
+
+def _encode_pieces(parts: Iterator[pd.DataFrame], path: str, leaf: int) -> Iterator[pd.DataFrame]:
+    """The chunks of each leaf of a piece, leaves set apart by an empty mark."""
+    enc = encoder(path, leaf)
     for pdf in parts:
-        enc, ids = encoder(path, leaf), []
-        for k, last, piece, special in zip(pdf["leaf"], pdf["last"], pdf["piece"], pdf["id"], strict=True):
-            if special is not None and not pd.isna(special):
-                ids.append([int(special)])
-            elif k < 0:
-                ids.append(np.frombuffer(enc.encode_bytes(piece)[0], "<u4").astype("int32"))
+        for k in range(len(pdf)):
+            row, ids, decoded = pdf.iloc[k], [], []
+            for i in range(0, len(row["piece"]), leaf):
+                pairs = enc._pairs(row["piece"][i : i + leaf])
+                ids += [p[0] for p in pairs] + [_MARK]
+                decoded += [p[1] for p in pairs] + [_MARK]
+            yield pd.DataFrame({"key": [row["key"]], "at": [row["at"]], "piece": [row["piece"]], "ids": [ids], "decoded": [decoded]})
+    enc.forget()
+
+
+#: Ends the chunks of a leaf; no chunk's ids have an odd number of bytes.
+_MARK = b"."
+
+
+def _join_pieces(key: tuple, pdf: pd.DataFrame, path: str, leaf: int, outputs: tuple[str, ...]) -> pd.DataFrame:
+    enc, leaves = encoder(path, leaf), []
+    for piece, ids, decoded in pdf.sort_values("at")[["piece", "ids", "decoded"]].itertuples(index=False):
+        pairs, at = [], 0
+        for i, d in zip(ids, decoded, strict=True):
+            if i == _MARK:
+                leaves.append((piece[at : at + leaf], pairs))
+                pairs, at = [], at + leaf
             else:
-                ids.append(enc.leaf_ids(piece, bool(last)))
-        yield pd.DataFrame({"key": pdf["key"], "run": pdf["run"], "leaf": pdf["leaf"], "piece": pdf["piece"], "ids": ids})
-
-
-def _join_leaves(key: tuple, pdf: pd.DataFrame, path: str, leaf: int, outputs: tuple[str, ...]) -> pd.DataFrame:
-    enc, all_ids = encoder(path, leaf), []
-    for _, run in pdf.sort_values(["run", "leaf"]).groupby("run", sort=True):
-        if len(run) == 1:
-            all_ids.append(np.array(run["ids"].iloc[0], "<u4"))
-        else:
-            all_ids.append(np.array(enc.tree([(p, list(map(int, i))) for p, i in zip(run["piece"], run["ids"], strict=True)]), "<u4"))
-    ids = np.concatenate(all_ids) if all_ids else np.zeros(0, "<u4")
-    row = dict(zip(outputs, _outputs(ids.tobytes(), enc.decode(ids).encode(), outputs), strict=True))
-    return pd.DataFrame({"key": [key[0]], "out": [row]})
+                pairs.append((bytes(i), bytes(d)))
+    out = pd.DataFrame({"key": [key[0]], "out": [dict(zip(outputs, _outputs(*enc.concatenated(leaves), outputs), strict=True))]})
+    enc.forget()
+    return out

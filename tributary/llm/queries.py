@@ -29,7 +29,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, tokenizer_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).select("doc_id", "bpe.*")
+    return bpe.encode(docs, tokenizer_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "n_joins")).select("doc_id", "bpe.*")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
