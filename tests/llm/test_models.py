@@ -77,6 +77,11 @@ def test_pii_more_kinds_and_redaction(spark):
     assert "6789" not in pii.redact(t, spans) and "secret" not in pii.redact(t, spans) and pii.redact("plain text", []) == "plain text"
     assert [r[0] for r in odd(spark).select(pii.pii_redacted(F.col("text"))).collect()] == [t for _, t, _ in ODD]
     assert odd(spark).select(pii.pii_digest(F.col("text")).alias("p")).count() == len(ODD)
+    t = "I live at 221B Baker Street, London or 12 N. Oak Avenue, Apt 4, Springfield, IL 62704; Hauptstraße 5, rue de Rivoli 10. In 12 days the street is 5 km. token = \"04dbebab91ab85\" http://u%s:p@h/" % ("x" * 400)
+    assert [(k, t[a:b]) for k, a, b in pii.finder().spans(t)] == [("address", "221B Baker Street, London"), ("address", "12 N. Oak Avenue, Apt 4, Springfield, IL 62704"), ("address", "Hauptstraße 5"), ("address", "rue de Rivoli 10"), ("secret", "04dbebab91ab85"), ("login", "u" + "x" * 400 + ":p")]
+    assert [k for k, _, _ in pii.finder().spans("GB82 WEST 1234 5698 7654 32 and GB82WEST12345698765433 and xGB82WEST12345698765432")] == ["iban"]
+    for cue in ("http://", "@", "+1", ".1", "1 ", "gb8", "GB8", "token=", "1 A street ", "rue A "):
+        assert isinstance(pii.finder().spans(cue * 50_000), list)
     assert pii.finder().spans("a" * 200_000) == [] and pii.finder().spans("1." * 100_000) == [("ip", *s) for s in [m.span() for m in re.finditer(r"\d+\.\d+\.\d+\.\d+", "1." * 100_000)]]
 
 

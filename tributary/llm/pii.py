@@ -1,15 +1,16 @@
 """Personal data in texts: cues found by Aho-Corasick, expanded and checked by local parsers.
 
-One automaton finds at-signs, "+digit", "scheme://", dotted digits and words that
-name an identifier. A parser at each cue expands to the boundaries of the item
-and validates it. Each parser walks a run of characters once, so texts without
-cues or with endless runs take linear time.
+One automaton finds at-signs, "+digit", "scheme://", dotted digits, digits that follow each other (also over one
+space or hyphen), country codes before a digit, words that name an identifier or a secret, and words for streets. A
+parser at each cue expands to the boundaries of the item and validates it. Each parser walks a run of characters once,
+so texts without cues or with endless runs take linear time; long texts are read whole.
 
 Kinds, in this order: the base kinds email, ip, card, phone; then login
-(user:password of a URL), iban (checksum modulo 97) and account (the number after
-a cue such as "SSN:", "account no." or "passport"). Spans are (kind, start, end)
+(user:password of a URL), iban (length of its country, checksum modulo 97), account (the number after
+a cue such as "SSN:", "account no." or "passport"), address (a house number beside a street's name) and secret
+(the value given to a password, token or key). Spans are (kind, start, end)
 in code points, end exclusive, ordered by start, then kind as listed. Null counts
-as an empty text; repeated rows give repeated rows.
+as an empty text; repeated rows give repeated rows; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,9 +26,22 @@ from pyspark.sql import functions as F
 #: Texts that leave a worker at once.
 ROWS = 256
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "login", "iban", "account")
+KINDS = (*BASE, "login", "iban", "account", "address", "secret")
 #: Words that name an identifier whose number follows (fixed values).
 CUES = ("ssn", "social security", "account", "acct", "passport", "tax id", "driver license", "id number", "customer id")
+#: Words to which a secret is given (fixed values).
+SECRETS = ("password", "passwd", "token", "secret", "api_key", "api-key", "apikey", "access_key", "private_key")
+#: Words for streets after the name (fixed values).
+STREETS = (" street", " avenue", " road", " lane", " drive", " boulevard", " court", " square", "straße", "strasse", " weg", " allee")
+#: Words for streets before the name (fixed values).
+STREETS_BEFORE = ("rue ", "avenue ", "boulevard ", "calle ", "avenida ", "plaza ", "via ")
+#: Lengths of account numbers by country (fixed values).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,8 +50,14 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s/@:]{1,256}:[^\s/@]{1,256})@")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# The part after the scheme is walked once, whether or not it holds a login.
+_LOGIN = re.compile(r"([^\s/@:]++:[^\s/@]++)@|[^\s/@]*+")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_SECRET = re.compile(r"[\"']?\s{0,3}(?:[:=]|=>)\s{0,3}[\"']?([A-Za-z0-9_./+=-]{8,})")
+_HOUSE_BEFORE = re.compile(r"(?<![0-9A-Za-z.,-])([0-9]{1,5}[A-Za-z]?(?: (?:[NSEW]\.? )?[A-Z][\w.'-]{0,30}){1,3})$")
+_PLACE_AFTER = re.compile(r"(?:\.?,? (?:Apt|Suite|Unit|No)\.? ?[0-9A-Za-z]{1,6})?(?:, [A-Z][\w'-]{1,30}(?: [A-Z][\w'-]{1,30})?)?(?:,? [A-Z]{2})?(?:,? [0-9]{5}(?:-[0-9]{4})?)?(?![0-9])")
+_HOUSE_AFTER = re.compile(r" [0-9]{1,4}[A-Za-z]?(?![0-9A-Za-z])")
+_NAMED = re.compile(r"(?:(?:de|la|del|los|las|du|des|di|della) ){0,2}[A-Z][\w'-]{1,30}(?: [A-Z][\w'-]{1,30})?,? [0-9]{1,4}[A-Za-z]?(?![0-9A-Za-z])")
 _ACCOUNT = re.compile(r"(?:\s{0,3}(?:no\.?|number|num|#|nr\.?|is))?\s{0,3}[:#=]?\s{0,3}([A-Z]{0,3}[0-9][0-9 -]{4,30}[0-9])(?![0-9A-Za-z])", re.IGNORECASE)
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -52,9 +72,16 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _mod97(iban: str) -> bool:
-    s = iban.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+def _iban_end(text: str, m: re.Match) -> int | None:
+    """Where the account number ends, if the characters its country asks for are there and check."""
+    size, at, held = IBAN_LENGTHS[text[m.start() : m.start() + 2]], m.start(), []
+    while len(held) < size and at < m.end():
+        if text[at] != " ":
+            held.append(text[at])
+        at += 1
+    number = "".join(held)
+    whole = len(number) == size and not (at < len(text) and text[at].isalnum())
+    return at if whole and int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1 else None
 
 
 class Finder:
@@ -62,25 +89,36 @@ class Finder:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        words = {"@": "at", **{f"+{d}": "plus" for d in range(10)}, **{f".{d}": "dot" for d in range(10)}, **dict.fromkeys(SCHEMES, "scheme"), **dict.fromkeys(CUES, "cue")}
+        digits = "0123456789"
+        words = {"@": "at", **{f"+{d}": "plus" for d in digits}, **{f".{d}": "dot" for d in digits}, **dict.fromkeys(SCHEMES, "scheme"), **dict.fromkeys(CUES, "cue"), **dict.fromkeys(SECRETS, "secret")}
+        words |= {f"{c}{s}{d}": "digits" for c in digits for s in ("", " ", "-") for d in digits}
+        words |= {f"{c.lower()}{d}": "country" for c in IBAN_LENGTHS for d in digits}
+        words |= {w: "street" for w in STREETS} | {w: "street before" for w in STREETS_BEFORE}
         for word, kind in words.items():
             self.automaton.add_word(word, (kind, len(word)))
         self.automaton.make_automaton()
-        # Two letters and two check digits open an IBAN.
-        self.two = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[ A-Z0-9]")
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         if not text:
             return []
         found: list[tuple[str, int, int]] = []
-        email_end = ip_end = phone_end = 0
-        cue_end = login_end = 0
+        email_end = ip_end = phone_end = card_end = 0
+        cue_end = login_end = iban_end = address_end = secret_end = 0
         lower = text.lower()
         if len(lower) != len(text):  # a few letters grow in lower case
             lower = text.translate(_ASCII_LOWER)
         for last, (kind, size) in self.automaton.iter(lower):
             at = last - size + 1
-            if kind == "at":
+            if kind == "digits":
+                # The first pair of digits after a match begins the next run, which a match takes whole.
+                if at >= card_end:
+                    m = _CARD.match(text, at)
+                    card_end = m.end()
+                    if card_end - at >= 12:
+                        number = m[0].replace(" ", "").replace("-", "")
+                        if 12 <= len(number) <= 19 and luhn(number):
+                            found.append(("card", at, card_end))
+            elif kind == "at":
                 start = at
                 while start > email_end and text[start - 1] in _LOCAL:
                     start -= 1
@@ -105,24 +143,40 @@ class Finder:
                         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
                             found.append(("ip", start, ip_end))
             elif kind == "scheme":
-                start = at
-                if start >= login_end and (m := _LOGIN.match(text, start)):
-                    login_end = m.end()
-                    found.append(("login", m.start(1), m.end(1)))
+                if at >= login_end:
+                    m = _LOGIN.match(text, last + 1)
+                    login_end = max(m.end(), last + 1)
+                    if m[1]:
+                        found.append(("login", m.start(1), m.end(1)))
+            elif kind == "country":
+                if at >= iban_end and not (at and text[at - 1].isalnum()) and text[at : at + 2] in IBAN_LENGTHS and (m := _IBAN.match(text, at)) and (end := _iban_end(text, m)):
+                    iban_end = end
+                    found.append(("iban", at, end))
+            elif kind == "street":
+                if at >= address_end and not text[last + 1 : last + 2].isalnum():
+                    if m := _HOUSE_BEFORE.search(text, max(address_end, at - 100), at):
+                        address_end = _PLACE_AFTER.match(text, last + 1).end()
+                        found.append(("address", m.start(1), address_end))
+                    elif text[at] != " " and (m := _HOUSE_AFTER.match(text, last + 1)):
+                        start = at
+                        while start > address_end and text[start - 1].isalpha():
+                            start -= 1
+                        if text[start].isupper():
+                            address_end = m.end()
+                            found.append(("address", start, address_end))
+            elif kind == "street before":
+                if at >= address_end and not (at and text[at - 1].isalnum()) and (m := _NAMED.match(text, last + 1)):
+                    address_end = m.end()
+                    found.append(("address", at, address_end))
+            elif kind == "secret":
+                if at >= secret_end and (m := _SECRET.match(text, last + 1)):
+                    secret_end = m.end(1)
+                    if any("0" <= c <= "9" for c in m[1]):
+                        found.append(("secret", m.start(1), secret_end))
             elif at >= cue_end and (at == 0 or not text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)):
                 cue_end = m.end(1)
                 if 6 <= sum("0" <= c <= "9" for c in m[1]) <= 20:
                     found.append(("account", m.start(1), m.end(1)))
-        for m in _CARD.finditer(text):
-            if m.end() - m.start() >= 12:
-                digits = m[0].replace(" ", "").replace("-", "")
-                if 12 <= len(digits) <= 19 and luhn(digits):
-                    found.append(("card", *m.span()))
-        end = 0
-        for cue in self.two.finditer(text):
-            if cue.start() >= end and (m := _IBAN.match(text, cue.start())) and _mod97(m[0]):
-                end = m.end()
-                found.append(("iban", *m.span()))
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -180,9 +234,9 @@ def pii_redacted(text: Column) -> Column:
 
 
 def pii_digest(text: Column) -> Column:
-    """Counts of the base kinds, the digest of the base spans, and all spans, as a struct."""
+    """Counts of the base kinds, the digest of the base spans, all spans and their number, as a struct."""
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         f = finder()
         for s in parts:
@@ -190,7 +244,7 @@ def pii_digest(text: Column) -> Column:
             for t in s:
                 spans = f.spans(t)
                 base = [x for x in spans if x[0] in BASE]
-                rows.append((*(sum(x[0] == k for x in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*(sum(x[0] == k for x in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans)))
+            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return run(text)
