@@ -133,7 +133,12 @@ def test_toxicity_lexicon_is_whole_beside_a_group_of_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, label double")
     c = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"))
     assert "w:moron" in c.weights and "w:zq00001x" not in c.weights
-    rows = [(k, t if k > 99 else f"{t} only{k}", y) for k, t, y in rows]  # 60 different texts with the same 5000 words
+    near = [(k, t if k > 99 else f"{t} only{k}", y) for k, t, y in rows]  # 60 near copies
+    df = spark.createDataFrame(near, "doc_id long, text string, label double")
+    c = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"))
+    assert "w:moron" in c.weights and "w:zq00001x" not in c.weights
+    shuffled = lambda k: " ".join(random.Random(k).sample(long.split(), 5000))
+    rows = [(k, t if k > 99 else shuffled(k), y) for k, t, y in rows]  # 60 different texts with the same 5000 words
     df = spark.createDataFrame(rows, "doc_id long, text string, label double")
     c = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"))
     assert "w:moron" in c.weights and sum(t.startswith("w:zq") for t in c.weights) == 5000
@@ -147,6 +152,34 @@ def test_label_model_trusts_accurate_voters():
     assert ((p > 0.5) == y).mean() > 0.95
 
 
+def test_label_model_sees_that_voters_copy_each_other():
+    r = np.random.default_rng(4)
+    y = r.random(4000) < 0.4
+    vote = lambda a: np.where(r.random(4000) < a, np.where(y, 1, -1), np.where(y, -1, 1))
+    copied, good = vote(0.7), [vote(0.85) for _ in range(4)]
+    votes = np.stack([*good, *[np.where(r.random(4000) < 0.98, copied, -copied) for _ in range(6)]], axis=1)
+    start = 1 / (1 + np.exp(-np.stack(good, axis=1).sum(axis=1) - 0.3 * copied))
+    ours, best = toxicity.label_model(votes, start) > 0.5, np.stack(good, axis=1).sum(axis=1) + 0.5 * copied > 0
+    assert (ours == y).mean() > (best == y).mean() - 0.02 > 0.85
+
+
+def test_one_class_no_documents_and_clashing_names(spark):
+    docs = spark.createDataFrame([(k, f"text number {k}", "x", 1.0) for k in range(30)], "doc_id long, text string, LABEL string, score double")
+    for value, low, high in ((1.0, 0.9, 1.0), (0.0, 0.0, 0.1)):
+        labels = docs.select("doc_id", F.lit(value).alias("label"))
+        assert low <= toxicity.fit(docs, labels).score("text") <= high
+        stats = docs.select("doc_id", q.stats_column(F.col("text")).alias("stats"))
+        assert low <= q.fit(stats.join(labels, "doc_id")).score(np.zeros((1, 24)))[0] <= high
+        one = langid.fit(docs.select("doc_id", "text", F.lit("xx").alias("lang"), "LABEL"))
+        assert one.predict("text")[0] == "xx"
+    none = docs.where("false")
+    labels = docs.select("doc_id", F.lit(1.0).alias("label"))
+    assert toxicity.fit(none, labels).score("x") == 0.0 and none.select(toxicity.toxicity(F.col("text"), toxicity.fit(none, labels))).collect() == []
+    with pytest.raises(ValueError):
+        bpe.encode(docs.withColumn("BPE", F.lit(1)), tokenizer_path())
+
+
+
 def brute_links(rows):
     good = [(k, np.array(v, float), lab) for k, (_, v, lab) in enumerate(rows) if v is not None and lab is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     linked = set()

@@ -1,21 +1,21 @@
-"""Toxicity by weak supervision: mined voters, a generative label model, a linear classifier on its posteriors.
-
-1. Terms (whole words and word beginnings of 4 and 5 letters) are counted in toxic
-   and other labelled texts; those that speak clearly for toxicity form the lexicon
-   and the patterns. They are dealt over voters by kind and hash; each voter says
-   "toxic" where one of its terms occurs and abstains elsewhere. Two more voters
-   say "clean" where no word or no pattern occurs.
-2. The label model holds, for each voter, the chance of its vote given the class,
-   fitted by expectation maximisation; correlations between voters within a class
-   shrink the weight of voters that repeat each other.
-3. A logistic classifier over the terms is trained on the posterior labels.
+"""Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier on its posteriors.
+
+1. Voters. Fixed ones know insults, abuse, threats and patterns of address, shouting and emphasis, whatever the labels
+   say. Mined ones: terms (whole words and word beginnings of 4 and 5 letters) are counted in toxic
+   and other labelled texts; those that speak clearly for toxicity are dealt over voters by kind and hash. Each says
+   "toxic" where one of its terms occurs and abstains elsewhere; three more voters say "clean" where
+   no fixed voter, no mined word and no mined beginning speaks. A text's label is one more voter.
+2. The label model is a tree of voters under a hidden class: each voter's chances given the class and the voter that it
+   depends on most. Accuracies, the pairs that depend on each other and how much are estimated together by expectation
+   maximisation, which starts from the votes.
+3. A logistic classifier over the terms, mined and fixed, is trained on the posterior labels.
 
 Fitting takes at most about ``max_rows`` labelled documents, chosen by a hash of doc_id. Among
-them a text that many documents share counts once, with the mean of their labels, so a group of
-copies doesn't outvote other texts. The lexicon holds every term that is frequent and clear
+them texts count once for each group of near copies (equal least hash of three-word shingles), with the mean of their
+labels, so a group of copies doesn't outvote other texts. The lexicon holds every term that is frequent and clear
 enough; the sample alone bounds it. Null counts as an empty text, which has no terms and gets the
-classifier's bias. Several labels of one doc_id count as their mean. Without labels every score is 0.
-Repeated rows get equal scores.
+classifier's bias; long texts are read whole. Several labels of one doc_id count as their mean. Without toxic labels every
+score is 0, without others it is nearly 1. Repeated rows get equal scores; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,6 +37,15 @@ MIN_DOCS = 4
 MIN_RATIO = 12.0
 VOTERS = 8
 _WORD = re.compile(r"\w+")
+#: What the voters that owe nothing to labels look for.
+INSULTS = ("idiot", "idiots", "moron", "morons", "imbecile", "fool", "fools", "loser", "losers", "jerk", "clown", "dumb", "dumbass", "stupid", "pathetic", "bastard", "bitch", "asshole", "scum", "vermin")
+ABUSE = ("trash", "garbage", "filth", "filthy", "worthless", "useless", "disgusting", "vile", "crap", "shit", "fuck", "fucking", "damn", "hell", "ugly", "rotten")
+THREATS = ("kill", "die", "hurt", "destroy", "beat", "smash", "burn", "hang", "shoot", "hate", "hates", "despise", "suffer", "regret")
+_PATTERNS = (
+    re.compile(r"\b(?:you|your|u)\b[^.!?\n]{0,20}\b(?:" + "|".join(INSULTS + ABUSE) + r")\b"),
+    re.compile(r"\b(?:shut up|go away|get lost|drop dead|nobody (?:likes|wants|asked)|i hate|hate you)\b"),
+    re.compile(r"!{3,}|\b[a-z]\*{2,}[a-z]?"),
+)
 
 
 def terms_of_word(word: str) -> tuple[str, ...]:
@@ -53,6 +62,27 @@ def terms(text: str | None) -> set[str]:
     return {t for w in set(_WORD.findall((text or "").lower())) for t in terms_of_word(w)}
 
 
+_FIXED_TERMS = tuple(frozenset(words) for words in (INSULTS, ABUSE, THREATS))
+
+
+def fixed_votes(text: str | None) -> list[int]:
+    """1 for each voter without labels that speaks: the three lexicons, the patterns, and shouting."""
+    lower = (text or "").lower()
+    words = set(_WORD.findall(lower))
+    shouted = sum(w.isupper() and len(w) > 3 for w in set(_WORD.findall(text or "")))
+    return [int(bool(words & t)) for t in _FIXED_TERMS] + [int(bool(p.search(lower))) for p in _PATTERNS] + [int(shouted > 5 and 4 * shouted > len(words))]
+
+
+def near_key(text: str | None) -> str:
+    """Equal for equal texts, and mostly for near copies: the least hash of three-word shingles, or the short text itself."""
+    import xxhash
+
+    words = (text or "").lower().encode("utf-8", "replace").split()
+    if len(words) < 8:
+        return " ".join(w.decode() for w in words)
+    return str(min(xxhash.xxh64_intdigest(b" ".join(words[k : k + 3])) for k in range(len(words) - 2)))
+
+
 class Classifier:
     """A logistic function of a bias and the weights of the terms that occur."""
 
@@ -79,24 +109,53 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
+def _tree(joint: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """(voter, the voter it depends on or -1): the tree of most mutual information given the class; weaker ties than ``least`` are left out.
+
+    joint: class, voter, vote, voter, vote.
+    """
+    each = np.einsum("cvava->cva", joint)
+    prior = each[:, 0].sum(axis=1)
+    expected = each[:, :, :, None, None] * each[:, None, None, :, :] / prior[:, None, None, None, None]
+    shared = (joint * np.log(joint / expected)).sum(axis=(0, 2, 4))
+    n, out, inside = len(shared), [(0, -1)], [0]
+    while len(inside) < n:
+        rest = [k for k in range(n) if k not in inside]
+        ties = shared[np.ix_(rest, inside)]
+        i, j = np.unravel_index(ties.argmax(), ties.shape)
+        out.append((rest[i], inside[j] if ties[i, j] > least else -1))
+        inside.append(rest[i])
+    return out
+
+
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Posterior chances of class 1. votes: rows by voters of 1, -1 and 0 (abstains); start: first chances."""
-    hit = np.stack([votes == v for v in (1, 0, -1)]).astype(float)  # vote, row, voter
+    n, voters = votes.shape
+    code = votes + 1
+    hit = np.zeros((n, voters, 3), np.float32)
+    np.put_along_axis(hit, code[:, :, None], 1, axis=2)
+    flat = hit.reshape(n, -1)
     p = np.clip(start, 0.02, 0.98)
     for _ in range(rounds):
-        prior = p.mean()
-        like = [np.log((np.einsum("vrj,r->vj", hit, q) + 0.5) / (q.sum() + 1.5)) for q in (p, 1 - p)]
-        # Within a class, voters that move together tell less than as many independent ones.
-        discount = np.ones(votes.shape[1])
-        for q in (p, 1 - p):
-            x = votes - (q @ votes) / max(q.sum(), 1e-9)
-            cov = (x * q[:, None]).T @ x / max(q.sum(), 1e-9)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-            np.fill_diagonal(corr, 0)
-            discount = np.minimum(discount, 1 / (1 + np.where(corr > 0.3, corr, 0).sum(axis=1)))
-        gain = np.einsum("vrj,vj,j->r", hit, like[0] - like[1], discount)
-        new = 1 / (1 + np.exp(-np.clip(gain + np.log(prior / (1 - prior)), -30, 30)))
+        # While the classes are vague, all voters seem to depend on each other.
+        ties = 0.005 if np.maximum(p, 1 - p).mean() > 0.85 else np.inf
+        joint = np.stack([(flat * q[:, None].astype(np.float32)).T @ flat for q in (1 - p, p)]).astype(float).reshape(2, voters, 3, voters, 3)
+        joint = joint / n + 0.1 / n  # no chance is zero
+        for k in range(voters):  # a voter agrees with itself
+            own = np.einsum("cab->ca", joint[:, k, :, k, :]) - 0.2 / n
+            joint[:, k, :, k, :] = np.maximum(own, 1e-12)[:, :, None] * np.eye(3) + 1e-15
+        gain = np.full(n, np.log(p.mean() / (1 - p.mean())))
+        for k, parent in _tree(joint, ties):
+            if parent < 0:
+                chance = np.einsum("cvava->cva", joint)[:, k]
+                chance = chance / chance.sum(axis=1, keepdims=True)
+                like = np.log(chance[1] / chance[0])[code[:, k]]
+            else:
+                chance = joint[:, k, :, parent, :]
+                chance = chance / chance.sum(axis=1, keepdims=True)
+                like = np.log(chance[1] / chance[0])[code[:, k], code[:, parent]]
+            gain += like
+        new = 1 / (1 + np.exp(-np.clip(gain, -30, 30)))
         done = np.abs(new - p).max() < 1e-4
         p = np.clip(new, 1e-6, 1 - 1e-6)
         if done:
@@ -110,11 +169,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text_col:
     n = labels.count()
     if not n:
         return none
+
+    @F.pandas_udf("string")
+    def near(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([near_key(t) for t in s], dtype=object)
+
     own = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < max_rows / n)  # about max_rows rows, so small
     sample = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), "doc_id")
         .groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
-        .groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).agg(F.max("text").alias("text"), F.avg("label").alias("label"))
+        .groupBy(near("text").alias("key")).agg(F.max("text").alias("text"), F.avg("label").alias("label"))
     )
 
     def doc_terms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,26 +199,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text_col:
         return none if not sizes or not sizes["hot"] else Classifier({}, 50.0)
     ratio = ((F.col("hot") + 0.0) / sizes["hot"]) / ((F.col("cold") + 0.5) / sizes["cold"])
     chosen = counts.where((F.col("term") != "") & (F.col("hot") >= MIN_DOCS) & (ratio >= MIN_RATIO)).select("term").toPandas()
-    lexicon = sorted(chosen["term"])
-    if not lexicon:
-        return none
+    mined = set(chosen["term"])
+    lexicon = sorted(mined | {f"w:{w}" for t in _FIXED_TERMS for w in t})
     index = {t: k for k, t in enumerate(lexicon)}
 
-    @F.pandas_udf("array<int>")
-    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("found array<int>, fixed array<int>")
+    def voted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield pd.Series([sorted(index[t] for t in terms(x) if t in index) for x in s], dtype=object)
+            yield pd.DataFrame([(sorted(index[t] for t in terms(x) if t in index), fixed_votes(x)) for x in s], columns=["found", "fixed"])
 
-    rows = sample.select(found("text").alias("found"), "label").toPandas()
-    x = Sparse(rows["found"], len(lexicon))
+    rows = sample.select(voted("text").alias("v"), "label").select("v.*", "label").toPandas()
     label = rows["label"].to_numpy(float)
-    voter = np.array([(0 if t[0] == "w" else VOTERS) + zlib.crc32(t.encode()) % VOTERS for t in lexicon])
-    votes = np.zeros((len(rows), 2 * VOTERS), int)
+    voter = np.array([((0 if t[0] == "w" else VOTERS) + zlib.crc32(t.encode()) % VOTERS) if t in mined else 2 * VOTERS for t in lexicon])
+    votes = np.zeros((len(rows), 2 * VOTERS + 1), int)
     for k, f in enumerate(rows["found"]):
         votes[k, voter[f]] = 1
-    clean = [np.where(v.any(axis=1), 0, -1) for v in (votes[:, :VOTERS], votes[:, VOTERS:])]
-    posterior = label_model(np.column_stack([votes, *clean]), np.clip(label, 0.1, 0.9))
-    return _logistic(x, posterior, lexicon)
+    groups = [np.array(rows["fixed"].tolist(), int), votes[:, :VOTERS], votes[:, VOTERS : 2 * VOTERS]]
+    clean = [np.where(v.any(axis=1), 0, -1) for v in groups]
+    ballot = np.column_stack([*groups, *clean, np.where(label >= 0.5, 1, -1)])
+    ballot = ballot[:, (ballot != 0).any(axis=0)]  # voters that never speak tell nothing
+    start = 1 / (1 + np.exp(-ballot.sum(axis=1)))
+    return _logistic(Sparse(rows["found"], len(lexicon)), label_model(ballot, start), lexicon)
 
 
 class Sparse:
