@@ -7,7 +7,8 @@ from ``FAMILIES`` form the family "other".
 
 Fitting takes at most about ``max_rows`` labelled rows, dealt evenly over the
 languages and chosen by a hash of doc_id and text length. Texts that are null or without a letter get
-"und" and score 0. With no labelled rows, every text gets "und". Rows with a null
+"und" and score 0; long texts are read whole. With no labelled rows, every text gets "und"; with one language, every text
+with a letter gets it. An empty table gives an empty table. Rows with a null
 language are never learned from; repeated rows are learned as often as they are
 sampled and each gets its own prediction.
 """
@@ -31,6 +32,8 @@ FAMILIES = {
 }
 DIMENSIONS = 2048
 MAX_ROWS = 2400
+#: Languages learned, the most frequent first; with more names than this the column isn't one of languages.
+MAX_LANGS = 120
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -101,10 +104,10 @@ class Model:
         return lang, p * q
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, families: dict[str, str] = FAMILIES) -> Model:
-    """Learns from rows with text and language; about max_rows of them, evenly over languages."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS, families: dict[str, str] = FAMILIES) -> Model:
+    """Learns from rows with text and language; about max_rows of them, 20 at least for each of up to max_langs languages."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not counts:
         return Model(np.zeros((0, DIMENSIONS)), [], families)
     each = max(20, max_rows // len(counts))

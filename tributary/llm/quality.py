@@ -9,7 +9,7 @@ chosen by a hash, is kept from the ridge and calibrates its scores.
 Null counts as an empty text, which has all-zero statistics and gets a score like
 any other. Several labels of one doc_id count as their mean. Labels that are null
 are dropped; without labels of both classes every score is the share of label 1,
-or 0.5 if there are none. Repeated rows get equal scores.
+or 0.5 if there are none. Long texts are read whole. Repeated rows get equal scores; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -129,7 +129,10 @@ def fit(labelled: DataFrame) -> Scorer:
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"row": [key[0]], "v": [np.sum(np.vstack(list(pdf["v"])), axis=0)]})
 
-    rows = labelled.where(part != 0).select("stats", "label").mapInPandas(sums, "row int, v array<double>").groupBy("row").applyInPandas(add, "row int, v array<double>").collect()
+    # Rows of partitions' matrices are summed in two steps, so no task holds a row of every partition.
+    sent = labelled.where(part != 0).select("stats", "label").mapInPandas(sums, "row int, v array<double>").withColumn("part", F.spark_partition_id() % 64)
+    some = sent.groupBy("row", "part").applyInPandas(add, "row int, v array<double>")
+    rows = some.groupBy("row").applyInPandas(add, "row int, v array<double>").collect()
     normal = np.zeros((FEATURES + 1, FEATURES + 2))
     for r in rows:
         normal[r["row"]] = r["v"]
