@@ -16,11 +16,22 @@ from tributary.llm.common import fold_of, free_name, read, stash
 from tributary.llm.queries import tokenizer_path
 
 
+#: Languages to keep; None keeps every language that documents are labelled with.
+LANGUAGES: tuple[str, ...] | None = None
+#: A text whose language is less sure than this has none that it could be kept for.
+SURE = 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Keeps documents whose predicted language is sure enough and among LANGUAGES; lang becomes that language.
+
+    Null texts and texts without a letter have no language and go.
+    """
     model = langid.fit(docs.where(fold_of(F.col("doc_id"), 4) != 2))
     own = free_name(docs, "language")
-    return docs.withColumn(own, langid.language(F.col("text"), model)).where(F.col(own)["lang_pred"] != langid.UNKNOWN).drop(own)
+    pred = F.col(own)["lang_pred"]
+    kept = (pred != langid.UNKNOWN) & (F.col(own)["score"] >= SURE) & (F.lit(True) if LANGUAGES is None else pred.isin(*LANGUAGES))
+    return docs.withColumn(own, langid.language(F.col("text"), model)).where(kept).withColumn("lang", pred).drop(own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
