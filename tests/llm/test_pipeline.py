@@ -6,19 +6,26 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tributary.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from tributary.llm import pii  # noqa: E402
+from tributary.llm import langid, pii  # noqa: E402
 from tributary.llm.queries import tokenizer_path  # noqa: E402
 
 
-def test_stages(spark, tmp_path):
+def test_stages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "SURE", 0.97)
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    more = spark.createDataFrame([(9001, None, "en", "s", None), (9002, "", "en", "s", 0), (9003, "12 34", "en", "s", 5), (None, "of the and one two", None, None, 18), (9004, "of the and one two", "en", "s", 18), (9004, "of the and one two", "en", "s", 18)], docs.schema)
+    german = next(r["text"] for r in docs.where("lang = 'de' and length(text) > 500").orderBy("doc_id").collect()) + " und"
+    odd = ["zq", "xq zzv", "jwq kx", "Vvv", "qqq", "wzx yq", "kkj", "Pf", "ub", "ymx"]
+    more = spark.createDataFrame([(9001, None, "en", "s", None), (9002, "", "en", "s", 0), (9003, "12 34", "en", "s", 5), (None, "of the and one two", None, None, 18), (9004, "of the and one two", "en", "s", 18), (9004, "of the and one two", "en", "s", 18), *[(9020 + k, t, "en", "s", len(t)) for k, t in enumerate(odd)], (9015, german, "fr", "s", len(german))], docs.schema)
     docs.union(more).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     sf = str(tmp_path)
-    kept = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"] and any(c.isalpha() for c in r["text"])]
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    model = langid.fit(spark.read.parquet(f"{sf}/documents.parquet").where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 != 2))
+    guess = [model.predict(r["text"]) for r in rows]
+    kept = [(r["doc_id"], r["text"], g, r["source"], r["n_chars"]) for r, (g, score) in zip(rows, guess, strict=True) if g != "und" and score >= corpus_pipeline.SURE]
+    assert (9015, "de") in {(r[0], r[2]) for r in kept} and len(kept) < sum(any(c.isalpha() for c in r["text"] or "") for r in rows)
     df = spark.read.parquet(f"{sf}/documents.parquet")
     frames = []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -48,6 +55,10 @@ def test_stages(spark, tmp_path):
     for r in frames[4].join(frames[3].select("doc_id", "text"), "doc_id").collect():
         e = t.encode(r["text"], add_special_tokens=False).ids
         assert (r["ids"], r["n_tokens"], r["decoded"]) == (e, len(e), t.decode(e, skip_special_tokens=False))
+    with monkeypatch.context() as m:
+        m.setattr(corpus_pipeline, "LANGUAGES", ("de", "fr"))
+        some = corpus_pipeline.language(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        assert key(map(tuple, some.collect())) == key(r for r in kept if r[2] in ("de", "fr"))
     ran = corpus_pipeline.run(spark, sf)
     assert ran.select("doc_id", "n_tokens").exceptAll(frames[4].select("doc_id", "n_tokens")).isEmpty() and ran.count() == frames[4].count()
 
