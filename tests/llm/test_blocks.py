@@ -48,10 +48,11 @@ def got(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize(("seed", "length", "size", "hot"), [(3, 200, 8 << 20, 4096), (4, 60, 2000, 4096), (5, 200, 1500, 3), (6, 60, 8 << 20, 0)])
-def test_repeats(spark, seed, length, size, hot):
+@pytest.mark.parametrize(("seed", "length", "size", "hot"), [(3, 200, 8 << 20, 4096), (4, 60, 2000, 4096), (5, 200, 1500, 3), (6, 60, 1500, 0)])
+@pytest.mark.parametrize("relayed", [False, True])
+def test_repeats(spark, seed, length, size, hot, relayed):
     rows = corpus(seed)
-    out = repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA), length=length, outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"), block_bytes=size, hot=hot)
+    out = repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA), length=length, outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"), block_bytes=size, hot=hot, relayed=relayed)
     assert got(out) == sorted(brute.repeats(pairs(rows), length), key=str)
 
 
@@ -91,9 +92,10 @@ def test_strings_in_corpus_order_equal_counting():
 
 
 @pytest.mark.parametrize(("seed", "window", "size"), [(3, 13, 8 << 20), (4, 5, 2000), (5, 13, 1500)])
-def test_substring(spark, seed, window, size):
+@pytest.mark.parametrize("relayed", [False, True])
+def test_substring(spark, seed, window, size, relayed):
     rows = corpus(seed)
-    out = substring.dedup(spark.createDataFrame(rows, SCHEMA), window=window, outputs=("n_words", "n_removed", "kept_sha256"), block_bytes=size)
+    out = substring.dedup(spark.createDataFrame(rows, SCHEMA), window=window, outputs=("n_words", "n_removed", "kept_sha256"), block_bytes=size, relayed=relayed)
     assert got(out) == sorted(brute.substring(pairs(rows), window), key=str)
 
 

@@ -55,6 +55,21 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
+def release() -> None:
+    """Gives a worker's freed memory back to the machine, since the process outlives its task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, compared without case."""
     taken = {c.lower() for c in df.columns}
@@ -80,8 +95,8 @@ def joined_by_size(left: DataFrame, right: DataFrame, key: str, size: str, total
     return left.join(few, key).unionByName(left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(rest, key))
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """(doc_id, no_id, text, block) and the bytes of all texts, which the number of blocks follows.
+def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> tuple[DataFrame, int, int]:
+    """(doc_id, no_id, text, block), the bytes of all texts and the number of blocks, which follows them.
 
     pandas would make longs with nulls floating, so a null doc_id is the largest long with no_id set.
 
@@ -92,7 +107,7 @@ def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = block_bytes or min(max(BLOCK_BYTES, math.isqrt(total * 80_000)), MOST_BLOCK_BYTES)
     n = max(1, -(-total // size))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64), F.spark_partition_id()), F.lit(n))), total
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64), F.spark_partition_id()), F.lit(n))), total, n
 
 
 # --- rolling hashes over arrays, modulo 2**64 --------------------------------------------

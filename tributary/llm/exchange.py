@@ -8,11 +8,16 @@ within a block are sent once, so a bucket holds at most one entry for each block
 and key, whatever the number of copies; blocks and buckets are both of bounded size.
 
 All passes over the documents use one shuffle of the texts by block.
+
+Where blocks times buckets would be too many messages, they go over relays: a block sends a row for each coarse
+bucket, a relay takes the rows of a group of blocks for one coarse bucket and sends one row for each fine bucket in it,
+and answers go back the same way. Messages then grow with the blocks times the root of the buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -55,8 +60,32 @@ class Keys:
         return np.diff(np.concatenate([self.edges, [len(self.order)]]))
 
 
-def messages(block: int, channel: str, keys: Keys, values: np.ndarray, bits: int, narrow: bool = False) -> Iterator[tuple]:
-    """A row for each bucket of 2**bits. narrow: 32 bits beside the bucket's, for filters; else all 64 and h2."""
+@dataclass(frozen=True)
+class Route:
+    """bits: of the buckets; sent: of those that blocks send to, fewer if their messages go over relays."""
+
+    bits: int
+    sent: int
+
+    @property
+    def relayed(self) -> bool:
+        return self.sent < self.bits
+
+    @property
+    def group(self) -> int:
+        """Blocks whose messages one relay takes together."""
+        return 1 << (self.bits - self.sent)
+
+
+def route(total: int, blocks: int, relayed: bool | None = None) -> Route:
+    bits = max(5, (total // BUCKET_BYTES).bit_length())
+    relayed = blocks << bits > MOST_MESSAGES if relayed is None else relayed
+    return Route(bits, bits // 2 if relayed else bits)
+
+
+def messages(block: int, channel: str, keys: Keys, values: np.ndarray, to: Route, narrow: bool = False) -> Iterator[tuple]:
+    """A row for each bucket. narrow: 32 bits beside the bucket's, for filters; else, and over relays, all 64 and h2."""
+    bits, narrow = to.sent, narrow and not to.relayed
     starts = np.searchsorted(keys.h1, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys.h1)]
     key = ((keys.h1 >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4") if narrow else keys.h1.astype("<u8")
     for k in range(1 << bits):
@@ -65,9 +94,9 @@ def messages(block: int, channel: str, keys: Keys, values: np.ndarray, bits: int
             yield k, channel, block, j - i, key[i:j].tobytes(), b"" if keys.h2 is None else keys.h2[i:j].tobytes(), values[i:j].tobytes()
 
 
-def carried(block: int, bits: int, value: bytes) -> tuple:
+def carried(block: int, to: Route, value: bytes) -> tuple:
     """A note of a block to itself for the next pass."""
-    return block % (1 << bits), "carry", block, 0, b"", b"", value
+    return block % (1 << to.sent), "carry", block, 0, b"", b"", value
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -79,7 +108,58 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
 Merge = dict[str, tuple[str, str | None, str, Callable[[Keys, np.ndarray], np.ndarray]] | Callable[[pd.DataFrame], list[bytes]]]
 
 
-def answers(sent: DataFrame, merge: Merge) -> DataFrame:
+def _fine(key: bytes, to: Route) -> np.ndarray:
+    """Where the fine buckets of a coarse one begin among a message's keys, which are in order; one place more than there are."""
+    h = np.frombuffer(key, "<u8")
+    within = (h >> np.uint64(64 - to.bits)) & np.uint64(to.group - 1)
+    return np.searchsorted(within, np.arange(to.group + 1, dtype=np.uint64))
+
+
+def _cut(data: bytes, places: np.ndarray, n: int) -> list[bytes]:
+    size = len(data) // n if n else 0
+    return [data[i * size : j * size] for i, j in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+
+
+def _relay(key: tuple, pdf: pd.DataFrame, to: Route, sizes: Callable | None) -> pd.DataFrame:
+    """What a group of blocks sent to a coarse bucket, as one message for each fine bucket."""
+    coarse, channel, group = int(key[0]), key[1], int(key[2])
+    held: list[tuple[list, list, list, int]] = [([], [], [], 0) for _ in range(to.group)]
+    for m in pdf.sort_values("block").itertuples():
+        places = _fine(m.key, to)
+        if sizes is None:
+            values = _cut(m.value, places, m.n)
+        else:
+            ends = np.concatenate([[0], np.cumsum(sizes(m.more))])[places].tolist()
+            values = [m.value[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        for k, (a, b, c) in enumerate(zip(_cut(m.key, places, m.n), _cut(m.more, places, m.n), values, strict=True)):
+            if a:
+                keys, more, value, n = held[k]
+                keys.append(a)
+                more.append(b)
+                value.append(c)
+                held[k] = keys, more, value, n + len(a) // 8
+    return frame([(coarse * to.group + k, channel, group, n, b"".join(keys), b"".join(more), b"".join(value)) for k, (keys, more, value, n) in enumerate(held) if n])
+
+
+def _back(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame, to: Route) -> pd.DataFrame:
+    """The answers of a coarse bucket's fine ones, dealt to the blocks that asked, in the order of their keys."""
+    pdf = pdf.sort_values("block")
+    answer = {int(b) % to.group: v for b, v in zip(got["bucket"], got["value"], strict=True)}
+    counts = [np.diff(_fine(k, to)) for k in pdf["key"]]
+    asked = np.sum(counts, axis=0)
+    size = {k: len(v) // int(asked[k]) for k, v in answer.items()}
+    at, rows = dict.fromkeys(answer, 0), []
+    for block, n in zip(pdf["block"], counts, strict=True):
+        parts = []
+        for k in np.flatnonzero(n).tolist():
+            end = at[k] + int(n[k]) * size[k]
+            parts.append(answer[k][at[k] : end])
+            at[k] = end
+        rows.append((block, key[1], int(key[0]), b"".join(parts)))
+    return pd.DataFrame(rows, columns=["block", "channel", "bucket", "value"])
+
+
+def answers(sent: DataFrame, merge: Merge, to: Route) -> DataFrame:
     """What each block gets back; merge functions see the entries of one bucket ordered by block."""
 
     def bucket(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,13 +169,21 @@ def answers(sent: DataFrame, merge: Merge) -> DataFrame:
         if callable(merge[key[1]]):
             return pd.DataFrame({"block": pdf["block"].to_numpy(), "channel": key[1], "bucket": key[0], "value": merge[key[1]](pdf)})
         key_type, more_type, value_type, how = merge[key[1]]
+        key_type = "<u8" if to.relayed else key_type
         h1 = np.frombuffer(b"".join(pdf["key"]), key_type)
         h2 = None if more_type is None else np.frombuffer(b"".join(pdf["more"]), more_type)
         out = how(Keys(h1, h2), np.frombuffer(b"".join(pdf["value"]), value_type))
         parts = np.split(out, np.cumsum(pdf["n"])[:-1])
         return pd.DataFrame({"block": pdf["block"].to_numpy(), "channel": key[1], "bucket": key[0], "value": [p.tobytes() for p in parts]})
 
-    return sent.groupBy("bucket", "channel").applyInPandas(bucket, ANSWER)
+    if not to.relayed:
+        return sent.groupBy("bucket", "channel").applyInPandas(bucket, ANSWER)
+    asked = sent.where("channel != 'carry'").withColumn("group", F.floor(F.col("block") / to.group)).groupBy("bucket", "channel", "group")
+    fine = asked.applyInPandas(lambda k, pdf: _relay(k, pdf, to, getattr(merge[k[1]], "sizes", None)), MESSAGE)
+    found = fine.groupBy("bucket", "channel").applyInPandas(bucket, ANSWER)
+    back = found.select(F.floor(F.col("bucket") / to.group).alias("coarse"), "channel", F.col("block").alias("group"), "bucket", "value").groupBy("coarse", "channel", "group")
+    dealt = asked.cogroup(back).applyInPandas(lambda k, pdf, got: _back(k, pdf, got, to), ANSWER)
+    return dealt.unionByName(sent.where("channel = 'carry'").select("block", "channel", "bucket", "value"))
 
 
 def answered(pdf: pd.DataFrame, channel: str, dtype: str) -> np.ndarray:
@@ -108,9 +196,8 @@ def answered(pdf: pd.DataFrame, channel: str, dtype: str) -> np.ndarray:
 BUCKET_BYTES = 64 << 20
 
 
-def bucket_bits(total: int) -> int:
-    """Buckets for a corpus of so many bytes: of bounded size, 32 at least."""
-    return max(5, (total // BUCKET_BYTES).bit_length())
+#: Messages between blocks and buckets above which they go over relays.
+MOST_MESSAGES = 1 << 22
 
 
 def texts_of(pdf: pd.DataFrame) -> list[bytes]:
@@ -134,16 +221,16 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(["doc_id", "no_id", "text"], ignore_index=True)
 
 
-def passes(docs: DataFrame, first: Callable, second: Callable, last: Callable, merge1: Merge, merge2: Merge, out: str) -> DataFrame:
+def passes(docs: DataFrame, first: Callable, second: Callable, last: Callable, merge1: Merge, merge2: Merge, out: str, to: Route) -> DataFrame:
     """Three passes over blocks of documents with two exchanges between.
 
     docs: doc_id, no_id, text, block. first(block, pdf), second(block, pdf, answers) -> messages;
     last(block, pdf, answers) -> the columns of out, which follow doc_id, in the order of pdf.
     """
     by_block = docs.groupBy("block")
-    one = answers(by_block.applyInPandas(lambda k, pdf: frame(list(first(int(k[0]), _ordered(pdf)))), MESSAGE), merge1)
+    one = answers(by_block.applyInPandas(lambda k, pdf: frame(list(first(int(k[0]), _ordered(pdf)))), MESSAGE), merge1, to)
     sent = by_block.cogroup(one.groupBy("block")).applyInPandas(lambda k, pdf, got: frame(list(second(int(k[0]), _ordered(pdf), got))), MESSAGE)
-    two = answers(sent, merge2)
+    two = answers(sent, merge2, to)
 
     def rows(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         pdf = _ordered(pdf)

@@ -229,15 +229,15 @@ def _in_order(pdf: pd.DataFrame, length: int) -> list[bytes]:
     return [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, outputs: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept"), block_bytes: int | None = None, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, outputs: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept"), block_bytes: int | None = None, hot: int = HOT, relayed: bool | None = None) -> DataFrame:
     """doc_id and outputs for each row of docs; kept is the remaining bytes joined. length: 18 to 500."""
-    rows, size = blocked(docs, id_col, text_col, block_bytes)
-    bits = x.bucket_bits(size)
+    rows, size, blocks = blocked(docs, id_col, text_col, block_bytes)
+    to = x.route(size, blocks, relayed)
 
     def first(block: int, pdf: pd.DataFrame):
         context, parse = _Block(pdf, length).counted()
-        yield from x.messages(block, "context", context, context.counts().astype("<u4"), bits)
-        yield from x.messages(block, "parse", parse, parse.counts().astype("<u4"), bits, narrow=True)
+        yield from x.messages(block, "context", context, context.counts().astype("<u4"), to)
+        yield from x.messages(block, "parse", parse, parse.counts().astype("<u4"), to, narrow=True)
 
     def total(keys: x.Keys, value: np.ndarray) -> np.ndarray:
         """The number of occurrences, doubled, and 1 more for the first block that sent the key."""
@@ -257,16 +257,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         holder = (n_context > 1) & holds & one & (n_parse > n_context)
         state = np.where(holder, _HOLDER, np.where(n_context > 1, _ALL, np.where(n_parse > 1, _OPEN, _NONE))).astype(np.uint8)
         state[(state >= _OPEN) & (n_parse > hot)] += 2
-        yield x.carried(block, bits, state.tobytes())
+        yield x.carried(block, to, state.tobytes())
         keys, number, least, most, texts = own.contexts(state)
         weight = np.where(state[number] == _HOLDER, 2, 1)
         sizes = np.stack([least, most, weight], axis=1).astype(np.uint8)
-        starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
+        starts = np.searchsorted(keys, np.arange(1 << to.sent, dtype=np.uint64) << np.uint64(64 - to.sent)).tolist() + [len(keys)]
         for k, (i, j) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
             if j > i:
                 yield k, "context bytes", block, j - i, keys[i:j].astype("<u8").tobytes(), sizes[i:j].tobytes(), b"".join(texts[i:j])
         strings, of, _ = own.strings(state)
-        yield from x.messages(block, "string", strings, np.minimum(strings.reduce(np.add, np.where(state[of] == _HOLDER_ONE, 2, 1)), 2).astype(np.uint8), bits)
+        yield from x.messages(block, "string", strings, np.minimum(strings.reduce(np.add, np.where(state[of] == _HOLDER_ONE, 2, 1)), 2).astype(np.uint8), to)
 
     def repeated(keys: x.Keys, value: np.ndarray) -> np.ndarray:
         return (keys.reduce(np.add, value.astype(np.int64)) > 1).astype(np.uint8)[keys.inverse]
@@ -308,8 +308,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             table.append(tuple(values[o] for o in outputs))
         return pd.DataFrame(table, columns=list(outputs))
 
+    def in_order(pdf: pd.DataFrame) -> list[bytes]:
+        return _in_order(pdf, length)
+
+    def sizes(more: bytes) -> np.ndarray:
+        """Bytes of each context of a message."""
+        least, most, _ = np.frombuffer(more, np.uint8).reshape(-1, 3).astype(np.int64).T
+        return most + length - least
+
+    in_order.sizes = sizes
     return x.passes(
         rows, first, second, last,
-        {"context": ("<u8", "<u8", "<u4", total), "parse": ("<u4", None, "<u4", total)}, {"context bytes": lambda pdf: _in_order(pdf, length), "string": ("<u8", "<u8", "u1", repeated)},
-        ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs),
+        {"context": ("<u8", "<u8", "<u4", total), "parse": ("<u4", None, "<u4", total)}, {"context bytes": in_order, "string": ("<u8", "<u8", "u1", repeated)},
+        ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs), to,
     )

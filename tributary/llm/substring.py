@@ -67,10 +67,10 @@ class _Block:
         return r.slices(r.prefixes(self.words), starts, starts + size)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, outputs: tuple[str, ...] = ("n_words", "n_removed", "kept"), block_bytes: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, outputs: tuple[str, ...] = ("n_words", "n_removed", "kept"), block_bytes: int | None = None, relayed: bool | None = None) -> DataFrame:
     """doc_id and outputs for each row of docs; kept is the remaining words joined by one space."""
-    rows, total = blocked(docs, id_col, text_col, block_bytes)
-    bits = x.bucket_bits(total)
+    rows, total, blocks = blocked(docs, id_col, text_col, block_bytes)
+    to = x.route(total, blocks, relayed)
 
     def probes(b: _Block) -> tuple[np.ndarray, x.Keys]:
         starts = b.starts(b.block)
@@ -83,7 +83,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             own = b.row[starts]
             indexed = keys.reduce(np.maximum, ((starts - b.at[own]) % b.block == 0).astype(np.uint8))
             several = (keys.reduce(np.minimum, own) != keys.reduce(np.maximum, own)).astype(np.uint8)
-            yield from x.messages(block, "probe", keys, indexed | several << 1, bits, narrow=True)
+            yield from x.messages(block, "probe", keys, indexed | several << 1, to, narrow=True)
 
     def meet(keys: x.Keys, value: np.ndarray) -> np.ndarray:
         """1: in several documents; 2: indexed too."""
@@ -108,9 +108,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             return
         mask = np.zeros(len(b.words), bool)
         mask[candidate] = True
-        yield x.carried(block, bits, np.packbits(mask).tobytes())
+        yield x.carried(block, to, np.packbits(mask).tobytes())
         keys = windows(b, candidate)
-        yield from x.messages(block, "window", keys, keys.reduce(np.minimum, b.ids[b.row[candidate]]).astype("<i8"), bits)
+        yield from x.messages(block, "window", keys, keys.reduce(np.minimum, b.ids[b.row[candidate]]).astype("<i8"), to)
 
     def oldest(keys: x.Keys, value: np.ndarray) -> np.ndarray:
         """1 where a document of another block has a smaller id."""
@@ -142,5 +142,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     return x.passes(
         rows, first, second, last,
         {"probe": ("<u4", None, "u1", meet)}, {"window": ("<u8", "<u8", "<i8", oldest)},
-        ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs),
+        ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs), to,
     )
