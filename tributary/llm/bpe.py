@@ -32,11 +32,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, release
 
 LEAF = 2048
 SPREAD = 1 << 16
-CACHE = 120_000
+CACHE = 60_000
 #: Rows that leave a worker at once.
 ROWS = 256
 #: n_joins: how many joins of halves made the text's ids, 0 for one that is no longer than a leaf.
@@ -78,7 +78,6 @@ class Encoder:
 
     def __init__(self, path: str, leaf: int = LEAF):
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -89,8 +88,7 @@ class Encoder:
         self.suffix = model.get("end_of_word_suffix") or ""
         if spec.get("decoder") is not None or model["type"] != "BPE":
             raise ValueError("this operator joins tokens of a BPE vocabulary without a decoder")
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.build = lambda suffix: BPE(model["vocab"], merges, **({"end_of_word_suffix": suffix} if suffix else {}))
+        self.path = path
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -100,6 +98,15 @@ class Encoder:
         self.specials = re.compile("|".join(map(re.escape, self.special)))
         self.split = self._plain_split(spec)
 
+    def build(self, suffix: str):
+        """The merge rules alone, read again so that they aren't held by workers that never need them."""
+        from tokenizers.models import BPE
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        return BPE(model["vocab"], merges, **({"end_of_word_suffix": suffix} if suffix else {}))
+
     @cached_property
     def whole(self):
         return self.build(self.suffix)
@@ -138,6 +145,7 @@ class Encoder:
         """Empties the caches, since a worker outlives its task."""
         self.cache.clear()
         self.runs.clear()
+        release()
 
     def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
         text = chunk.decode("utf-8", "surrogatepass")

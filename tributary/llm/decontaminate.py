@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, free_name
+from .common import Rolling, free_name, release
 
 WINDOW = 10
 #: Bytes of training text in one suffix array, and of test text in one broadcast.
@@ -190,6 +190,7 @@ def _search(text: Column, tests) -> Column:
         for s in parts:
             rows = [r for shard in shards(list(s)) for r in tests.value.find(shard)]
             yield pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
+        release()
 
     return run(text)
 

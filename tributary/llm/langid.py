@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Families of common languages.
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -119,6 +121,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series([vector(t).astype("<f2").tobytes() for t in s], dtype=object)
+        release()
 
     sample = rows.where(draw < shares[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), vectors(F.col(text_col)).alias("v")).collect()
     x = np.frombuffer(b"".join([r["v"] for r in sample]), "<f2").astype(np.float32).reshape(-1, DIMENSIONS)
@@ -132,5 +135,6 @@ def language(text: Column, model: Model) -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
             yield pd.DataFrame([model.predict(t) for t in s], columns=["lang_pred", "score"])
+        release()
 
     return run(text)

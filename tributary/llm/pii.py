@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Texts that leave a worker at once.
 ROWS = 256
 BASE = ("email", "ip", "card", "phone")
@@ -229,6 +231,7 @@ def pii_redacted(text: Column) -> Column:
         for s in parts:
             for at in range(0, len(s), ROWS):
                 yield pd.Series([None if t is None else redact(t, f.spans(t)) for t in s.iloc[at : at + ROWS]], dtype=object)
+        release()
 
     return run(text)
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, joined_by_size, stash
+from .common import free_name, joined_by_size, release, stash
 from .components import components
 
 SHINGLE = 3
@@ -46,6 +46,7 @@ def fingerprints(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Colu
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series(np.array([fingerprint(t, shingle, seed) for t in s], np.uint64).view(np.int64))
+        release()
 
     return run(text)
 
