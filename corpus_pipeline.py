@@ -71,7 +71,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows that a Python worker takes at once; whole texts are long, and several workers share an executor.
+ROWS = 1000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir))
